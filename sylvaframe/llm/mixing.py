@@ -21,57 +21,64 @@ DOMAINS = ("toxic", "low", "high")
 WEIGHTS = (0.005, 0.145, 0.85)
 #: About as many labelled documents are learned from, at most.
 FIT_ROWS = 20_000
-BUCKETS = 1 << 14
-#: A bucket counts if its presence differs by so many standard errors.
-SURE = 4.0
-STEPS = 40
+#: Words that the classifier knows of each domain, at most.
+FEATURES = 400
+#: A word counts if its presence differs by so many standard errors.
+SURE = 6.0
+#: ... and if it is so many times as frequent in one domain: words of a language mustn't add up to a verdict.
+LIFT = 4.0
+STEPS = 25
 #: Steps end when every domain is so near to its target, as a part of all tokens.
 NEAR = 1e-3
 
 
 def _words(text: Column) -> Column:
-    """Buckets of a text's words in lower case; marks after a word are words too."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+|(?<=\\p{L})(?=[^\\p{L}\\s])"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    """Hashes of a text's words in lower case; marks after a word are words too."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+|(?<=\\p{L})(?=[^\\p{L}\\s])"), lambda w: F.xxhash64(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[float], list[list[float]]]:
-    """Log prior ratios and, by bucket, log ratios of word presence against the last domain. Without labels: all zero.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> tuple[list[float], list[tuple[int, float, float]]]:
+    """Log ratios without any known word, and what each known word adds, against the last domain (Bernoulli naive Bayes). Without labels: none.
 
-    Domains of a label row: toxic = 1 is toxic; else quality 0 is low and 1 high. Rows with null ids or labels are left out.
-    The counts have at most BUCKETS rows a domain.
+    Domains of a label row: toxic = 1 is toxic; else quality 0 is low and 1 high. Rows with null ids or labels are left
+    out. Words are the surest `features` of each domain; those that mark a language aren't frequent enough in one
+    domain to count.
     """
     named = labels.where("doc_id IS NOT NULL AND (toxic = 1 OR quality IS NOT NULL)").selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END AS d").distinct()
     n = named.count()
     part = min(1.0, fit_rows / max(1, n))
     some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
-    seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("d", F.explode(F.array_distinct(F.concat(_words(F.col("text")), F.array(F.lit(-1))))).alias("w"))
-    count = {(r["d"], r["w"]): r["n"] for r in seen.groupBy("d", "w").agg(F.count("*").alias("n")).collect()}
-    rows = [count.get((d, -1), 0) for d in range(3)]
-    prior = [math.log((x + 1) / (rows[2] + 1)) for x in rows[:2]]
-
-    def ratio(d: int, w: int) -> float:
-        x, y = count.get((d, w), 0), count.get((2, w), 0)
-        p, q = (x + 0.5) / (rows[d] + 1), (y + 0.5) / (rows[2] + 1)
-        mean = (x + y + 1) / (rows[d] + rows[2] + 2)
-        error = math.sqrt(mean * (1 - mean) * (1 / (rows[d] + 1) + 1 / (rows[2] + 1)))
-        return round(math.log(p / q), 4) if abs(p - q) > SURE * error else 0.0
-
-    return prior, [[ratio(d, w) for w in range(BUCKETS)] for d in range(2)]
-
-
-def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]]) -> DataFrame:
-    """doc_id, n_tokens (words) and p_toxic, p_low, p_high, which sum to 1. Each bucket counts once; null text has the prior."""
-    prior, ratio = model
-    tables = [F.from_json(F.lit(json.dumps(r)), "array<double>") for r in ratio]
+    mine = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("d", _words(F.col("text")).alias("w"))
+    # Copies would pass for evidence: of documents that share their least hash of three words, one counts.
+    three = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
+    mine = materialise(mine.withColumn("sketch", F.array_min(three)).dropDuplicates(["sketch"]).select("d", F.array_distinct("w").alias("w")))
+    rows = {r["d"]: r["n"] for r in mine.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    r = [rows.get(d, 0) for d in range(3)]
+    prior = [math.log((x + 1) / (r[2] + 1)) for x in r[:2]]
+    counts = mine.select("d", F.explode("w").alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("d") == d, 1)).alias(f"c{d}") for d in range(3)])
+    out: dict[int, list[float]] = {}
+    for d in range(2):
+        p, q = (F.col(f"c{d}") + 0.5) / (r[d] + 1), (F.col("c2") + 0.5) / (r[2] + 1)
+        mean = (F.col(f"c{d}") + F.col("c2") + 1) / (r[d] + r[2] + 2)
+        error = F.sqrt(mean * (1 - mean) * (1 / (r[d] + 1) + 1 / (r[2] + 1)))
+        told = counts.select("w", (F.abs(p - q) / error).alias("z"), F.log(p / q).alias("l"), F.log((1 - p) / (1 - q)).alias("none")).where((F.col("z") > SURE) & (F.abs("l") > math.log(LIFT)))
+        for row in told.orderBy(F.col("z").desc(), "w").limit(features).collect():
+            out.setdefault(row["w"], [0.0, 0.0])[d] = round(row["l"] - row["none"], 4)
+            prior[d] += row["none"]
+    return prior, [(w, *x) for w, x in sorted(out.items())]
+
+
+def posteriors(docs: DataFrame, model: tuple[list[float], list[tuple[int, float, float]]]) -> DataFrame:
+    """doc_id, n_tokens (words) and p_toxic, p_low, p_high, which sum to 1. Each word counts once; null text has the prior."""
+    prior, told = model
+    known, first, second = (F.from_json(F.lit(json.dumps([t[i] for t in told])), f"array<{kind}>") for i, kind in enumerate(("bigint", "double", "double")))
     own = docs.select("doc_id", _words(F.col("text")).alias("w"))
-    own = own.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_distinct("w").alias("w"))
+    own = own.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.transform(F.array_intersect(known, F.col("w")), lambda w: F.array_position(known, w).cast("int") - 1).alias("w"))
 
     def total(start: float, table: Column) -> Column:
-        return F.aggregate("w", F.lit(float(start)), lambda a, w: a + F.get(table, w))
+        return F.exp(F.greatest(F.least(F.aggregate("w", F.lit(float(start)), lambda a, w: a + F.get(table, w)), F.lit(40.0)), F.lit(-40.0)))
 
-    own = own.withColumn("l0", total(prior[0], tables[0])).withColumn("l1", total(prior[1], tables[1]))
-    cut = lambda c: F.exp(F.greatest(F.least(F.col(c), F.lit(40.0)), F.lit(-40.0)))
-    own = own.withColumn("e0", cut("l0")).withColumn("e1", cut("l1"))
+    own = own.withColumn("e0", total(prior[0], first)).withColumn("e1", total(prior[1], second))
     whole = F.col("e0") + F.col("e1") + 1
     return own.select("doc_id", "n_tokens", (F.col("e0") / whole).alias("p_toxic"), (F.col("e1") / whole).alias("p_low"), (1 / whole).alias("p_high"))
 
