@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as a long. One that is a long already stays the same column, so that plans over it stay alike."""
+    return docs if dict(docs.dtypes)["doc_id"] == "bigint" else docs.withColumn("doc_id", docs["doc_id"].cast("long"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir; a temp folder of our own only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, mix, signed, slices, word_hashes
+from sylvaframe.llm.common import U, grams, mix, signed, slices, with_ids, word_hashes
 
 WINDOW = 13
 #: Words on either side of a boundary that its name covers.
 SIDE = 4
 #: Anchors that a worker gathers before it looks for repeats among them.
 CHUNK = 400_000
-_BOUNDARY = "key long, doc_id long, pos int, here boolean"
+#: mark: twice the word's number in the document, plus 1 if the row is settled where it was made.
+_BOUNDARY = "key long, doc_id long, mark int"
 
 
 def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -66,7 +67,7 @@ def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _settle(later: bool, key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Rows of a chunk: those of a hash's smallest document keep it as key; the others are settled here, and dealt out apart.
 
-    here: the hash has several documents in this chunk or, with later, a smaller one.
+    Settled rows: their hash has several documents in this chunk or, with later, a smaller one.
     """
     order = np.lexsort((ids, key))
     key, ids, pos = key[order], ids[order], pos[order]
@@ -76,7 +77,7 @@ def _settle(later: bool, key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> p
     last = ids[np.concatenate((new[1:], [True]))][group]
     follows = ids != first
     key = np.where(follows, mix(key ^ mix(ids.view(U)) ^ pos.astype(U)), key)
-    return pa.RecordBatch.from_arrays([signed(key), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(follows if later else first != last)], names=["key", "doc_id", "pos", "here"])
+    return pa.RecordBatch.from_arrays([signed(key), pa.array(ids), pa.array((2 * pos + (follows if later else first != last)).astype(np.int32))], names=["key", "doc_id", "mark"])
 
 
 def _flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], later: bool = False) -> Iterator[pa.RecordBatch]:
@@ -156,13 +157,13 @@ def _kept(whole: bool):
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, starts): the first words of 13-word windows that also start in a document with a smaller doc_id."""
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    found = own.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_boundaries, _BOUNDARY)
-    shared = found.selectExpr("doc_id", "pos", "here OR min(doc_id) OVER (PARTITION BY key) < max(doc_id) OVER (PARTITION BY key) AS flag").where("flag")
-    marks = shared.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
+    own = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    found = own.where("text IS NOT NULL").mapInArrow(_boundaries, _BOUNDARY)
+    shared = found.selectExpr("doc_id", "mark", "(mark & 1) = 1 OR min(doc_id) OVER (PARTITION BY key) < max(doc_id) OVER (PARTITION BY key) AS flag").where("flag")
+    marks = shared.groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("marks"))
     windows = own.join(marks, "doc_id").mapInArrow(_windows, _BOUNDARY)
-    least = windows.selectExpr("doc_id", "pos", "here", "min(doc_id) OVER (PARTITION BY key) AS least")
-    return least.where("least < doc_id OR here").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    least = windows.selectExpr("doc_id", "mark", "min(doc_id) OVER (PARTITION BY key) AS least")
+    return least.where("least < doc_id OR (mark & 1) = 1").groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -174,8 +175,12 @@ def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
     nothing stays as it is (null becomes empty); else the kept words are joined by one space. Empty table: no rows.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
-    both = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`") for c in rest]).join(repeated_windows(docs), "doc_id", "left")
-    both = both.select("doc_id", "text", "starts", *[F.col(f"`{c}`") for c in rest])
+    docs = with_ids(docs)
+    cols = ["doc_id", "text", *[F.col(f"`{c}`") for c in rest]]
+    # Both joins read the texts dealt by doc_id from one shuffle, as long as nothing else is carried along.
+    own = docs.select(*cols).where("doc_id IS NOT NULL").join(repeated_windows(docs), "doc_id", "left")
+    lone = docs.select(*cols).where("doc_id IS NULL").withColumn("starts", F.lit(None).cast("array<int>"))
+    both = own.unionByName(lone).select("doc_id", "text", "starts", *[F.col(f"`{c}`") for c in rest])
     schema = f"doc_id long, n_words long, n_removed long, {'kept_text' if whole else 'kept_sha256'} string"
     for c in rest:
         schema += f", `{c}` {docs.schema[c].dataType.simpleString()}"
