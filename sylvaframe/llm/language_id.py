@@ -148,8 +148,8 @@ class Labeller:
 
     def score(self, raw: bytes) -> tuple[np.ndarray, int]:
         word = letters(raw)
-        if not word:
-            return np.zeros(len(self.langs)), 0
+        if not word or not self.langs:
+            return np.zeros(len(self.langs)), len(word)
         s = self.logp[:, features(word)].sum(1).astype(float)
         fits = self.own[:, script(word)]
         if fits.any():

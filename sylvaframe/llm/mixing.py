@@ -49,9 +49,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     part = min(1.0, fit_rows / max(1, n))
     some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
     mine = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("d", _words(F.col("text")).alias("w"))
-    # Copies would pass for evidence: of documents that share their least hash of three words, one counts.
-    three = F.transform("w", lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
-    mine = materialise(mine.withColumn("sketch", F.array_min(three)).dropDuplicates(["sketch"]).select("d", F.array_distinct("w").alias("w")))
+    # Copies would pass for evidence: of documents that share their least hash of five words, one counts.
+    five = F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + j) for j in range(1, 5)]))
+    mine = materialise(mine.withColumn("sketch", F.array_min(five)).dropDuplicates(["sketch"]).select("d", F.array_distinct("w").alias("w")))
     rows = {r["d"]: r["n"] for r in mine.groupBy("d").agg(F.count("*").alias("n")).collect()}
     r = [rows.get(d, 0) for d in range(3)]
     prior = [math.log((x + 1) / (r[2] + 1)) for x in r[:2]]

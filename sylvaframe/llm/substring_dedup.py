@@ -175,15 +175,15 @@ def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
     Words are runs without ASCII white space. A word goes if a window of 13 words over it also starts in a document with
     a smaller doc_id; windows are judged on the input. Null text has no words. A row with null doc_id is compared with
     nothing. doc_id names a document: repeated rows must be equal, and get equal rows. With whole, a text that loses
-    nothing stays as it is (null becomes empty); else the kept words are joined by one space. Empty table: no rows.
+    nothing stays as it is (null becomes empty); columns of docs named like one of the result give way to it; else the kept words are joined by one space. Empty table: no rows.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")] if whole else []
     docs = with_ids(docs)
     cols = ["doc_id", "text", *[F.col(f"`{c}`") for c in rest]]
     # Both joins read the texts dealt by doc_id from one shuffle, as long as nothing else is carried along.
-    own = docs.select(*cols).where("doc_id IS NOT NULL").join(repeated_windows(docs), "doc_id", "left")
-    lone = docs.select(*cols).where("doc_id IS NULL").withColumn("starts", F.lit(None).cast("array<int>"))
-    both = own.unionByName(lone).select("doc_id", "text", "starts", *[F.col(f"`{c}`") for c in rest])
+    own = docs.select(*cols).where("doc_id IS NOT NULL").join(repeated_windows(docs).withColumnRenamed("starts", "__starts"), "doc_id", "left")
+    lone = docs.select(*cols).where("doc_id IS NULL").withColumn("__starts", F.lit(None).cast("array<int>"))
+    both = own.unionByName(lone).select("doc_id", "text", "__starts", *[F.col(f"`{c}`") for c in rest])
     schema = f"doc_id long, n_words long, n_removed long, {'kept_text' if whole else 'kept_sha256'} string"
     for c in rest:
         schema += f", `{c}` {docs.schema[c].dataType.simpleString()}"

@@ -88,8 +88,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scaled = hosts.select("host", (F.col("good") / (sums["good"] or 1.0)).alias("good"), (F.col("bad") / (sums["bad"] or 1.0)).alias("bad"))
     trust = propagate(scaled, edges, "good", True).withColumnRenamed("score", "trust")
     distrust = propagate(scaled, edges, "bad", False).withColumnRenamed("score", "distrust")
-    # Distrust of a host is held against the mean over the blocked seeds.
-    least = THRESHOLD / (sums["n"] or 1)
+    # Held against what a blocked seed has of itself, in the mean.
+    least = THRESHOLD * (1 - DAMPING) / (sums["n"] or 1)
     scores = trust.join(distrust, "host").select("host", "trust", "distrust", F.when((F.col("distrust") > least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow").alias("by_graph"))
     # A host can hold a third of the pages: its scores are laid out SALTS times and its pages dealt among them.
     salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
