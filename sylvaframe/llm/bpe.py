@@ -8,9 +8,11 @@ pieces together gives what each alone would.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from operator import itemgetter
 from pathlib import Path
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from sylvaframe.llm.common import slices
 
-#: Pieces whose codes a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Pieces whose codes a worker gathers in a generation; those of the generation before stay at hand, and those met again move on.
+MEMORY = 300_000
 # The pattern that splits text into pieces before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -34,6 +36,28 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def plane_pattern() -> str:
+    """PATTERN with its properties spelled out as ranges of the first 65,536 code points, for the faster matcher."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    ranges = {p: "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for m in regex.findall(f"{p}+", every) for run in _runs(m)) for p in (r"\s", r"\p{L}", r"\p{N}")}
+    out = PATTERN.replace(r"\S", f"[^{ranges[chr(92) + 's']}]")
+    out = out.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(ranges.values())}]")
+    for p, found in ranges.items():
+        out = out.replace(p, f"[{found}]")
+    return out
+
+
+def _runs(chars: str) -> Iterator[str]:
+    """Pieces of ascending characters without a gap in their code points (the surrogates make one)."""
+    at = 0
+    for i in range(1, len(chars) + 1):
+        if i == len(chars) or ord(chars[i]) != ord(chars[i - 1]) + 1:
+            yield chars[at:i]
+            at = i
+
+
 class Codec:
     """Vocabulary, merges and remembered pieces. spec: the bytes of a tokenizer's JSON file (byte-level BPE)."""
 
@@ -58,12 +82,28 @@ class Codec:
             self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.find = regex.compile(PATTERN).findall
+        self.find_any, self.find_plane = regex.compile(PATTERN).findall, re.compile(plane_pattern()).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
+
+    def find(self, text: str) -> list[str]:
+        """The pieces of a text. Code points past the first 65,536 take the slower matcher."""
+        if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+            return self.find_plane(text)
+        return self.find_any(text)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode and remember distinct new pieces."""
+        """Encode and remember distinct new pieces. The index's many lists hold no cycles, so nothing is gained by collecting among them."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(pieces)
+        finally:
+            if was:
+                gc.enable()
+
+    def _learn(self, pieces: list[str]) -> None:
         sym: list[int] = []
         base, rank, size = self.base, self.rank, self.size
         for p in pieces:
@@ -117,7 +157,7 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """Ids joined by commas, their number, and the decoded bytes, of each text."""
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         cut = []
         for text in texts:
             if self.special and any(t in text for t in self.special):
@@ -128,6 +168,9 @@ class Codec:
             else:
                 cut.append(self.find(text))
         new = set().union(*cut).difference(self.known) if cut else set()
+        met = new.intersection(self.older)
+        self.known |= {p: self.older[p] for p in met}
+        new -= met
         self.learn([p for p in new if isinstance(p, str)])
         for p in new:
             if isinstance(p, tuple):

@@ -87,6 +87,22 @@ def test_bpe(spark):
         assert (got[i].ids, got[i].decoded, got[i].n_tokens) == (ids, told.decode(ids, skip_special_tokens=False), len(ids))
 
 
+def test_bpe_matchers_agree_and_older_pieces_return(monkeypatch):
+    codec = bpe.Codec(open(queries.vocabulary(), "rb").read())
+    rnd = random.Random(8)
+    letters = "ab'sdll ré9²Ⅷ.,é中 \x1c\x85\u2003\u3000\u200b\ufeff\u0345ʰ٣\n\t"
+    for _ in range(5000):
+        x = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20)))
+        assert codec.find_plane(x) == codec.find_any(x) == codec.find(x)
+    every = " ".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    assert codec.find_plane(every) == codec.find_any(every)
+    texts = ["".join(rnd.choice(letters) for _ in range(20)) for _ in range(40)] * 3
+    told = list(codec.encode(texts))
+    monkeypatch.setattr(bpe, "MEMORY", 10)
+    small = bpe.Codec(open(queries.vocabulary(), "rb").read())
+    assert [x for t in texts for x in small.encode([t])] == told
+
+
 def test_language_id(spark):
     rnd = random.Random(4)
     make = lambda ws, k: " ".join(rnd.choice(ws) for _ in range(k))
