@@ -6,7 +6,8 @@ SWITCH. The model's counts come from a bounded sample of labelled rows; every te
 
 from __future__ import annotations
 
-import zlib
+import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import NON_LETTER, slices, word_hashes
+from sylvaframe.llm.common import NON_LETTER, U, grams, mix, slices, word_hashes
 
 #: About as many labelled rows of each language are learned from, at most.
 FIT_ROWS = 3000
@@ -24,6 +25,8 @@ SWITCH = 14.0
 SCRIPT_SHARE = 0.05
 #: Words whose scores a worker remembers before it starts anew.
 MEMORY = 300_000
+#: Words that are scored, or steps that are listed, at a time.
+BLOCK = 1 << 15
 # First and last code point of the blocks that tell scripts apart.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -58,13 +61,22 @@ def letters(raw: bytes) -> str:
     return word if word.isalpha() else "".join([c for c in word if c.isalpha()])
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word itself and of its pieces of one to four letters, ends marked."""
-    w = f"^{word}$"
-    found = [zlib.crc32(f"={word}".encode())]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word itself and of its pieces of two to four letters, ends marked; and the word of each bucket, in order."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32).astype(U)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word, first = np.repeat(np.arange(len(words)), size), np.cumsum(size) - size
+    place = (np.arange(len(points)) - first[word]).astype(U)
+    found, whose = [mix(np.add.reduceat(mix(points + (place << U(32))), first))], [np.arange(len(words))]
     for k in (2, 3, 4):
-        found += [zlib.crc32(w[i : i + k].encode()) for i in range(len(w) - k + 1)]
-    return [x & (BUCKETS - 1) for x in found]
+        at = np.flatnonzero(word[: 1 - k] == word[k - 1 :])
+        found.append(mix(grams(points, k)[at] + U(k)))
+        whose.append(word[at])
+    owner = np.concatenate(whose)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(found)[order] % U(BUCKETS)).astype(np.int64), owner[order]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +92,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen[raw] = seen.get(raw, 0) + 1
         for lang, seen in words.items():
             total = sums.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-            for raw, n in seen.items():
-                if word := letters(raw):
-                    for x in features(word):
-                        total[x] += n
-                    total[BUCKETS + script(word)] += n * len(word)
+            known = [(word, n) for raw, n in seen.items() if (word := letters(raw))]
+            found, owner = features([word for word, _ in known])
+            times = np.array([n for _, n in known], np.int64)
+            np.add.at(total, found, times[owner])
+            for word, n in known:
+                total[BUCKETS + script(word)] += n * len(word)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at])], names=["lang", "bucket", "n"])
@@ -115,18 +128,26 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best labels of a row of words; scores (word, language). Ties go to the earlier language."""
     n, k = scores.shape
-    back = np.zeros((n, k), np.int16)
-    best = scores[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(best.argmax())
-        change = best[top] - switch > best
-        back[t] = np.where(change, top, stay)
-        best = np.where(change, best[top] - switch, best) + scores[t]
+    back = array("H", bytes(2 * n * k))  # 0: from the same language; else from that language, counted from 1
+    best = scores[0].tolist()
+    for start in range(1, n, BLOCK):
+        for t, row in enumerate(scores[start : start + BLOCK].tolist(), start):
+            high = max(best)
+            bar = high - switch
+            if min(best) < bar:
+                come = best.index(high) + 1
+                back[t * k : t * k + k] = array("H", [come if x < bar else 0 for x in best])
+                best = [(bar if x < bar else x) + s for x, s in zip(best, row, strict=True)]
+            else:
+                best = [x + s for x, s in zip(best, row, strict=True)]
     out = np.zeros(n, np.int64)
-    out[-1] = int(best.argmax())
+    now = out[-1] = best.index(max(best))
+    end = n
     for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+        if come := back[t * k + now]:
+            out[t:end] = now
+            now, end = come - 1, t
+    out[:end] = now
     return out
 
 
@@ -141,34 +162,36 @@ def constant(scores: np.ndarray, lang: int, switch: float = SWITCH) -> bool:
 
 class Labeller:
     def __init__(self, langs: list[str], logp: np.ndarray, own: np.ndarray):
-        self.langs, self.logp, self.own = langs, logp, own
+        self.langs, self.logp, self.own = langs, np.ascontiguousarray(logp.T), own
         self.row: dict[bytes, int] = {}
         self.table = np.zeros((1024, len(langs)))
         self.size = np.zeros(1024, np.int64)
 
-    def score(self, raw: bytes) -> tuple[np.ndarray, int]:
-        word = letters(raw)
-        if not word or not self.langs:
-            return np.zeros(len(self.langs)), len(word)
-        s = self.logp[:, features(word)].sum(1).astype(float)
-        fits = self.own[:, script(word)]
-        if fits.any():
-            s[~fits] = s.min() - 50
-        return s - s.max(), len(word)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores by word and language, the best 0; a word without letters has 0 for all."""
+        out = np.zeros((len(words), len(self.langs)))
+        full = [i for i, word in enumerate(words) if word]
+        if not full or not self.langs:
+            return out
+        found, owner = features([words[i] for i in full])
+        s = np.add.reduceat(self.logp[found], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0, dtype=float)
+        fits = self.own[:, [script(words[i]) for i in full]].T
+        s = np.where(fits | ~fits.any(1, keepdims=True), s, s.min(1, keepdims=True) - 50)
+        out[full] = s - s.max(1, keepdims=True)
+        return out
 
     def rows(self, raws: list[bytes]) -> np.ndarray:
         if len(self.row) > MEMORY:
             self.row.clear()
-        out = np.empty(len(raws), np.int64)
-        for i, raw in enumerate(raws):
-            at = self.row.get(raw)
-            if at is None:
-                at = self.row[raw] = len(self.row)
-                if at == len(self.table):
-                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                    self.size = np.concatenate((self.size, np.zeros_like(self.size)))
-                self.table[at], self.size[at] = self.score(raw)
-            out[i] = at
+        had = len(self.row)
+        out = np.fromiter((self.row.setdefault(raw, len(self.row)) for raw in raws), np.int64, len(raws))
+        new = [letters(raw) for raw in itertools.islice(self.row, had, None)]
+        while len(self.table) < len(self.row):
+            self.table, self.size = np.concatenate((self.table, np.zeros_like(self.table))), np.concatenate((self.size, np.zeros_like(self.size)))
+        for at in range(0, len(new), BLOCK):
+            some = new[at : at + BLOCK]
+            self.table[had + at : had + at + len(some)] = self.score(some)
+            self.size[had + at : had + at + len(some)] = [len(word) for word in some]
         return out
 
     def label(self, texts: list[bytes]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
