@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvaframe.operators.relational import fixed_bins
@@ -20,3 +20,52 @@ def errors(df: DataFrame, bins: int = 10) -> DataFrame:
     q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
     rest = df.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.avg(-(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))).alias("log_loss"))
     return curve.crossJoin(rest)
+
+
+def logit(p: Column) -> Column:
+    q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.log(q / (1 - q))
+
+
+def tempered(p: Column, temperature: Column) -> Column:
+    """The logistic of the logit over a temperature."""
+    return 1 / (1 + F.exp(-logit(p) / temperature))
+
+
+def isotonic(df: DataFrame):
+    """A function of a frame with p that adds `calibrated`: a monotone step curve fitted to (y, p)."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="calibrated").fit(df.select(F.col("p").cast("double").alias("p"), F.col("y").cast("double").alias("y")))
+    return model.transform
+
+
+def logistic(df: DataFrame, beta: bool = False):
+    """A function of a frame with p that adds `calibrated`: logistic regression on the logit, or (beta) on ln p and -ln(1 - p)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    def features(frame: DataFrame) -> DataFrame:
+        q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        frame = frame.withColumns({"_a": F.log(q) if beta else logit(F.col("p")), "_b": -F.log(1 - q)})
+        return VectorAssembler(inputCols=["_a", "_b"] if beta else ["_a"], outputCol="_x").transform(frame).drop("_a", "_b")
+
+    model = LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.0, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_l").fit(features(df.withColumn("y", F.col("y").cast("double"))))
+    return lambda frame: model.transform(features(frame)).withColumn("calibrated", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_l")
+
+
+def best_temperature(df: DataFrame, low: float = 0.05, high: float = 20.0, rounds: int = 3, width: int = 40) -> float:
+    """The temperature with the least log loss, by grids that close in; each grid is one pass."""
+    import math
+
+    for _ in range(rounds):
+        grid = [low * (high / low) ** (i / width) for i in range(width + 1)]
+        losses = []
+        for t in grid:
+            q = tempered(F.col("p"), F.lit(t))
+            losses.append(F.avg(-F.log(F.greatest(F.when(F.col("y") == 1, q).otherwise(1 - q), F.lit(1e-12)))))
+        row = df.agg(*losses).first()
+        at = min(range(len(grid)), key=lambda i: (math.inf if row[i] is None else row[i], i))
+        low, high = grid[max(0, at - 1)], grid[min(width, at + 1)]
+    return math.sqrt(low * high)

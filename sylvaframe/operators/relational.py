@@ -52,3 +52,27 @@ def fixed_bins(x: Column, edges: list[float]) -> Column:
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """How many distinct rows only one side has."""
     return a.distinct().withColumn("side", F.lit(1)).unionByName(b.distinct().withColumn("side", F.lit(2))).groupBy(*a.columns).agg(F.count("*").alias("n")).where("n = 1").agg(F.count("*").alias("n"))
+
+
+def sample_weights(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `weight`: one over the size of its group, scaled to a mean of 1, so that groups weigh the same.
+
+    Sizes are counted with partial aggregation; the table of groups, not the rows, goes to the join.
+    """
+    per = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = per.agg((F.sum("_n") / F.count("*")).alias("_m"))
+    per = per.crossJoin(F.broadcast(total)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_m") / F.col("_n")).alias("weight"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return df.join(per, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def count_windows(df: DataFrame, keys: list[str], width: int, *order: Column) -> DataFrame:
+    """df's rows once for each whole window `win` of `width` rows in order, with a step of half the width, within keys."""
+    step = width // 2
+    w = Window.partitionBy(*keys)
+    own = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_c", F.count("*").over(w))
+    own = own.withColumn("win", F.explode(F.array(F.floor(F.col("_i") / step), F.floor(F.col("_i") / step) - 1)))
+    return own.where((F.col("win") >= 0) & (F.col("win") * step + width <= F.col("_c"))).drop("_i", "_c")

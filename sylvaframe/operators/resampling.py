@@ -32,3 +32,9 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     mid = (f + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(f * (1 - f) / n + z * z / (4 * n * n))
     return mid - half, mid + half
+
+
+def interval(df: DataFrame, value: str, keys: list[str] = (), level: float = 0.95) -> DataFrame:
+    """low, high: the exact percentile interval of the values, without nulls."""
+    tail = (1 - level) / 2
+    return df.groupBy(*keys).agg(F.percentile(value, tail).alias("low"), F.percentile(value, 1 - tail).alias("high"))

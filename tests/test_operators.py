@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import strings
 from sylvaframe.operators import agreement, metrics, relational, resampling, spatial
-from sylvaframe.plans.queries import ORACLES, QUERIES
+from sylvaframe.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
