@@ -28,7 +28,10 @@ BROADCAST_HOSTS = 20_000
 SALTS = 16
 # Elements by what they mean for the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select option button".split())
+RAW = frozenset("script style textarea title".split())
+DROPPED = frozenset("noscript template iframe svg math object canvas select option button".split())
+#: A start tag of the same kind ends these.
+FLAT = frozenset("iframe noscript canvas select button".split())
 BLOCKS = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 OUT = frozenset("nav footer aside form menu dialog".split())
 SELF_CLOSING = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split())}
@@ -39,6 +42,7 @@ MAIN_NAMES = frozenset("article post entry content story main body".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!(?!--)[^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+_OPTION_ENDS = frozenset("option optgroup select datalist".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
@@ -65,6 +69,43 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
     return token, out, main and not out
 
 
+def _dropped_end(page: str, at: int, tag: str, outer: list[str]) -> int:
+    """Where the dropped element that has just opened ends: after its end tag.
+
+    Without one before the end of an element around it, or before a tag that can't be inside it, it goes up to the next tag
+    of a block only, so that no text after it is lost.
+    """
+    inside, block = [tag], None
+    while m := _TAG.search(page, at):
+        close, name = m[1], (m[2] or "").lower()
+        at = m.end()
+        if not name:
+            continue
+        if block is None and name in BLOCKS and name not in VOID:
+            block = m.start()
+        if close:
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                if not inside:
+                    return at
+            elif name in BLOCKS and name in outer:
+                return m.start() if block is None else block
+            elif tag == "option" and name in _OPTION_ENDS:
+                return m.start()
+        elif name in RAW:
+            if not m[3].rstrip().endswith("/"):
+                stop = _RAW_END[name].search(page, at)
+                at = stop.end() if stop else len(page)
+        elif name == tag and tag in FLAT:
+            return m.start() if block is None else block
+        elif name in BLOCKS or name in DROPPED:
+            if name not in VOID and name != "option" and not m[3].rstrip().endswith("/"):
+                inside.append(name)
+        if tag == "option" and not close and (name in _OPTION_ENDS or name in BLOCKS):
+            return m.start()
+    return len(page) if block is None else block
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
     """Path, whether it is left out, text and letters of links of each block of text, and of each element as it opens (text '')."""
     stack: list[tuple[str, str, bool, bool]] = []  # tag, token, left out, main
@@ -104,6 +145,10 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
                 stop = _RAW_END[tag].search(page, at)
                 at = stop.end() if stop else size
             continue
+        if tag in DROPPED:
+            if not close and not attrs.rstrip().endswith("/"):
+                at = _dropped_end(page, at, tag, [s[0] for s in stack])
+            continue
         if tag == "a":
             link = not close
             continue

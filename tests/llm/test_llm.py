@@ -191,3 +191,11 @@ def test_topk(spark):
     x = {i: np.floor(np.array(v, np.float32).astype(float) * 1024).astype(int) for i, v in rows[:450]}
     told = {(q, r + 1): (i, s) for q in range(0, 450, 100) for r, (s, i) in enumerate(sorted(((-int(x[q] @ x[i]), i) for i in x if i != q))[:10])}
     assert {(r.query_id, r.rank): (r.vec_id, -r.score) for r in got} == {k: (i, s) for k, (i, s) in told.items()} and len(got) == len(told)
+
+
+def test_html_unclosed_elements_end():
+    text = lambda page: html_extract.main_text(page, "")
+    for head in ("<datalist><option value=a><option value=b></datalist>", "<div><button>Menu</div>", "<svg><path>", "<div><canvas>x</div>", "<select><option>a<option>b", "<div><object>o</div><p></object>", "<button>a<p></p><button>b</button>", "<option>a"):
+        assert text(f"<body>{head}<article><p>Kept <b>text</b>.</p></article></body>") == "Kept text.", head
+    assert text("<article>a<svg><title>t</title><svg></svg>x</svg>b <select><option>c<option>d</select><template><p>e<p>f</template>g</article>") == "ab g"
+    assert text("<article>a<script>b<p>c") == "a"
