@@ -1,18 +1,21 @@
 """HTML extraction by equivalence classes of template tokens.
 
-A token is an element's path of structural tags. Its occurrence vector over the pages of a host is kept as counts and
-an exclusive-or of hashes of (page, occurrences), which parts of a host can be merged from: tokens with equal sums have
-equal vectors and form a class. Classes that most pages of the host have are valid; nested by their paths they are the
-host's template, whose slots hold the text. The slot that holds the article is found per host from the slots' names and
-text; the pages' text in it is returned, without the parts that are menus, comments and the like.
+A token is an element's path of structural tags, or a block of text with its path. Its occurrence vector over the pages
+of a host is kept as counts and an exclusive-or of hashes of (page, occurrences), which parts of a host can be merged
+from: tokens with equal sums have equal vectors and form a class. Paths that most pages of the host have, and blocks of
+text in classes that most pages have and that hold enough text not to be chance, are nested by their paths the host's
+template, whose slots hold the text. The slot that holds the article is found per host from the slots' names and the
+text that isn't the template's; the pages' text in it is returned, without the template's text and the parts that are
+menus, comments and the like.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +26,10 @@ from sylvaframe.llm.url_filter import host_path
 
 #: A class is valid if it occurs on such a part of the host's pages.
 SUPPORT = 0.5
+#: Text is the template's if its class is on so many pages at least ...
+TEXT_PAGES = 3
+#: ... and the letters of the class's text times its pages but one come to so many.
+EVIDENCE = 100
 #: The table of slots is broadcast up to so many hosts; beyond, pages and slots are joined by salted host.
 BROADCAST_HOSTS = 20_000
 SALTS = 16
@@ -180,53 +187,78 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str, int]]:
         yield found
 
 
+def _code(path: str, text: str) -> int:
+    """64-bit hash of a block of text with its path, never 0, which paths alone have."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By host and token (path), merged over the rows of a batch: pages, occurrences, vector's hash, letters, letters of links, left out."""
+    """By host and token (path and hash of text, or 0), merged over the rows of a batch: pages, occurrences, vector's hash, letters, letters of links, left out."""
     for piece, texts in slices(batches, "html"):
         hosts = piece.column(1).to_pylist()
         ids = piece.column(0).to_pylist()
-        sums: dict[tuple[str, str], list[int]] = {}
+        sums: dict[tuple[str, str, int], list[int]] = {}
         for host, page_id, raw in zip(hosts, ids, texts, strict=True):
-            count: dict[str, list[int]] = {}
+            count: dict[tuple[str, int], list[int]] = {}
             for path, out, text, links in blocks(raw.decode("utf-8", "replace")):
-                own = count.setdefault("/".join(path), [0, 0, 0, int(out)])
-                if text:
-                    own[1] += len(text)
-                    own[2] += min(links, len(text))
-                else:
-                    own[0] += 1
-            for token, (n, size, links, out) in count.items():
-                total = sums.setdefault((host, token), [0, 0, 0, 0, 0, out])
+                where = "/".join(path)
+                keys = [(where, 0), (where, _code(where, text))] if text and not out else [(where, 0)]
+                for key in keys:
+                    own = count.setdefault(key, [0, 0, 0, int(out)])
+                    if text:
+                        own[1] += len(text)
+                        own[2] += min(links, len(text))
+                    if key[1] or not text:
+                        own[0] += 1
+            for (token, told), (n, size, links, out) in count.items():
+                total = sums.setdefault((host, token, told), [0, 0, 0, 0, 0, out])
                 code = zlib.crc32(f"{page_id}/{n}".encode()) | zlib.adler32(f"{n}/{page_id}".encode()) << 32
                 for i, x in enumerate((1, n, 0, size, links)):
                     total[i] += x
                 total[2] ^= code
-        rows = [(h, t, *v) for (h, t), v in sums.items()]
+        rows = [(*k, *v) for k, v in sums.items()]
         if rows:
-            host, token, pages, n, code, size, links, out = zip(*rows, strict=True)
+            host, token, told, pages, n, code, size, links, out = zip(*rows, strict=True)
             import numpy as np
 
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(pages, pa.int64()), pa.array(n, pa.int64()), pa.array(mix(np.array(code, U)).view(np.int64)), pa.array(size, pa.int64()), pa.array(links, pa.int64()), pa.array(out, pa.int32())], names=["host", "token", "pages", "n", "code", "size", "links", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(told, pa.int64()), pa.array(pages, pa.int64()), pa.array(n, pa.int64()), pa.array(mix(np.array(code, U)).view(np.int64)), pa.array(size, pa.int64()), pa.array(links, pa.int64()), pa.array(out, pa.int32())], names=["host", "token", "told", "pages", "n", "code", "size", "links", "out"])
 
 
-def _slot(tokens: list, pages: int) -> str:
-    """The path of the host's article slot. tokens: (token, class, pages, n, size, links, out)."""
+def _template(tokens: list) -> list:
+    """The blocks of text of the host's template: those of classes with enough text on enough pages."""
     classes: dict[tuple, list] = {}
     for t in tokens:
-        classes.setdefault((t["pages"], t["n"], t["code"]), []).append(t)
-    valid = [t for key, group in classes.items() if key[0] >= SUPPORT * pages for t in group if not t["out"]]
+        if t["told"] and t["pages"] >= TEXT_PAGES:
+            classes.setdefault((t["pages"], t["n"], t["code"]), []).append(t)
+    return [t for key, group in classes.items() if (key[0] - 1) * sum(t["size"] for t in group) >= EVIDENCE * key[0] for t in group]
+
+
+def _slot(tokens: list, template: list) -> str:
+    """The path of the host's article slot. tokens: (token, told, pages, n, code, size, links, out)."""
+    fixed: dict[str, list[int]] = {}
+    for t in template:
+        own = fixed.setdefault(t["token"], [0, 0])
+        own[0] += t["size"]
+        own[1] += t["links"]
+    plain = lambda ts: sum(t["size"] - t["links"] for t in ts)
+    valid = [t for t in tokens if not t["told"] and not t["out"]]
+    tokens = []
+    for t in valid:
+        size, links = fixed.get(t["token"], (0, 0))
+        tokens.append({**t, "size": t["size"] - size, "links": t["links"] - links})
+    # Where all pages are copies of one, no text is left to go by.
+    tokens = valid = tokens if plain(tokens) else valid
     names = {"article": [], "main": []}
     for t in valid:
         last = t["token"].rsplit("/", 1)[-1].split(".")[0]
         if last in names:
             names[last].append(t)
-    inside = lambda root: [t for t in tokens if not t["out"] and (t["token"] == root or t["token"].startswith(root + "/"))]
-    plain = lambda ts: sum(t["size"] - t["links"] for t in ts)
+    inside = lambda root: [t for t in tokens if t["token"] == root or t["token"].startswith(root + "/")]
     for group in (names["article"], names["main"]):
         if group:
             return max(group, key=lambda t: (plain(inside(t["token"])), -len(t["token"])))["token"]
     # No element is named for it: the deepest valid token that still holds most of the text outside links.
-    whole = plain([t for t in tokens if not t["out"]])
+    whole = plain(tokens)
     deep = [t for t in valid if plain(inside(t["token"])) >= 0.6 * whole and not re.search(r"(^|/)(p|li|h\d|td|blockquote|pre)[^/]*$", t["token"])]
     return max(deep, key=lambda t: t["token"].count("/"), default={"token": ""})["token"] if whole else ""
 
@@ -234,12 +266,16 @@ def _slot(tokens: list, pages: int) -> str:
 def _slots(group):
     import pandas as pd
 
-    pages = int(group["host_pages"].iloc[0])
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [_slot(group.to_dict("records"), pages)]})
+    tokens = group.to_dict("records")
+    template = _template(tokens)
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [_slot(tokens, template)], "template": [sorted(t["told"] for t in template)]})
+
 
+def main_text(page: str, slot: str, template: Container[int] = ()) -> str:
+    """Text of the page in the template's slot; where the page has no such slot, in its own article, main or body.
 
-def main_text(page: str, slot: str) -> str:
-    """Text of the page in the template's slot; where the page has no such slot, in its own article, main or body."""
+    Without the template's own text, except on pages that have no other: copies of one page can't be told from a template.
+    """
     own: list[tuple[str, bool, str]] = [("/".join(path), out, text) for path, out, text, _ in blocks(page)]
     under = lambda p, root: not root or p == root or p.startswith(root + "/")
     roots = [slot] if slot and any(under(p, slot) for p, _, _ in own) else []
@@ -248,31 +284,36 @@ def main_text(page: str, slot: str) -> str:
             roots = sorted({p for p, out, text in own if not text and not out and p.rsplit("/", 1)[-1].split(".")[0] == name})
             if roots:
                 break
-    return " ".join(text for p, out, text in own if text and not out and (not roots or any(under(p, r) for r in roots)))
+    found = [(p, text) for p, out, text in own if text and not out and (not roots or any(under(p, r) for r in roots))]
+    kept = [text for p, text in found if _code(p, text) not in template] if template else []
+    return " ".join(kept or [text for _, text in found])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece, texts in slices(batches, "html"):
-        found = [main_text(t.decode("utf-8", "replace"), s or "") for t, s in zip(texts, piece.column(3).to_pylist(), strict=True)]
+        # Rows repeat their host's template; it is made a set once.
+        templates: dict[tuple[int, ...], frozenset[int]] = {}
+        told = [templates.setdefault(k, frozenset(k)) for k in (tuple(x or ()) for x in piece.column(4).to_pylist())]
+        found = [main_text(t.decode("utf-8", "replace"), s or "", x) for t, s, x in zip(texts, piece.column(3).to_pylist(), told, strict=True)]
         yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def slots(pages: DataFrame) -> DataFrame:
-    """(host, slot): each host's article slot, from the merged tokens of all its pages."""
+    """(host, slot, template): each host's article slot and hashes of its template's blocks of text, from the merged tokens of all its pages."""
     own = pages.select("page_id", host_path(F.col("url"))[0].alias("host"), "html")
-    parts = own.mapInArrow(_tokens, "host string, token string, pages long, n long, code long, size long, links long, out int")
-    merged = parts.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "size", "links")], F.bit_xor("code").alias("code"), F.min("out").alias("out"))
+    parts = own.mapInArrow(_tokens, "host string, token string, told long, pages long, n long, code long, size long, links long, out int")
+    merged = parts.groupBy("host", "token", "told").agg(*[F.sum(c).alias(c) for c in ("pages", "n", "size", "links")], F.bit_xor("code").alias("code"), F.min("out").alias("out"))
     count = own.groupBy("host").agg(F.count("*").alias("host_pages"))
     # Paths that hardly any page has can't be in a valid class; they are summed in their host's pages all the same.
-    kept = merged.join(count, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
-    return kept.groupBy("host").applyInPandas(_slots, "host string, slot string")
+    kept = merged.where(f"told = 0 OR pages >= {TEXT_PAGES}").join(count, "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
+    return kept.groupBy("host").applyInPandas(_slots, "host string, slot string, template array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars.
 
     Character references are decoded, white space in a block becomes one space, blocks are joined by one space in page
-    order. Null html and pages without article text: empty. Null urls share the empty host. Repeated rows count as
+    order. Blocks of text that are the template's are left out. Null html and pages without article text: empty. Null urls share the empty host. Repeated rows count as
     pages. Empty table: no rows.
     """
     found = materialise(slots(pages))
@@ -282,4 +323,4 @@ def extract(pages: DataFrame) -> DataFrame:
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = own.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(salted, ["host", "salt"], "left")
-    return both.select("page_id", "url", "html", "slot").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "slot", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

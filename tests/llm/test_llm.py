@@ -199,3 +199,19 @@ def test_html_unclosed_elements_end():
         assert text(f"<body>{head}<article><p>Kept <b>text</b>.</p></article></body>") == "Kept text.", head
     assert text("<article>a<svg><title>t</title><svg></svg>x</svg>b <select><option>c<option>d</select><template><p>e<p>f</template>g</article>") == "ab g"
     assert text("<article>a<script>b<p>c") == "a"
+
+
+def test_html_repeated_text_is_the_templates(spark):
+    legal, more = "This site is run without any warranty by its owner.", "Call us on 555."
+    named = lambda i: f"<body><article><h1>T{i}</h1><div>{legal}</div><p>Own text {i}.</p><div class=x><p>{more}</p></div></article></body>"
+    plain = lambda i: f"<body><div>{legal * 9}</div><div class=wrap><p>Long own text of page number {i}.</p><div>{more}</div></div></body>"
+    rows = [(i, f"http://a.net/{i}", named(i)) for i in range(6)] + [(10 + i, f"http://b.net/{i}", plain(i)) for i in range(9)]
+    rows += [(20 + i, f"http://c.net/{i}", named(7)) for i in range(5)]  # copies of one page
+    rows += [(30 + i, f"http://d.net/{i}", named(i)) for i in range(2)]  # too few pages
+    rows += [(40 + i, f"http://e.net/{i}", named(i) if i < 2 else f"<body><article><p>Alone {i}.</p></article></body>") for i in range(6)]  # on a third of the pages
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = lambda i: f"T{i} {legal} Own text {i}. {more}"
+    assert [got[i] for i in range(6)] == [f"T{i} Own text {i}." for i in range(6)]
+    assert [got[10 + i] for i in range(9)] == [f"Long own text of page number {i}." for i in range(9)]
+    assert [got[20 + i] for i in range(5)] == [whole(7)] * 5 and [got[30 + i] for i in range(2)] == [whole(0), whole(1)]
+    assert [got[40 + i] for i in range(6)] == [whole(0), whole(1), *[f"Alone {i}." for i in range(2, 6)]]
