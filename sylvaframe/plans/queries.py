@@ -192,6 +192,12 @@ def _(s, d):
     return rounded(e.where("fold = 1").select("parcel_id", "p").join(e.select("parcel_id", "p2"), "parcel_id").select("parcel_id", (F.col("p") - F.col("p2")).alias("diff")))
 
 
+@query("jn01_inner_paired_whole", f"{E} SELECT a.parcel_id, round(a.p - b.p2, 9) AS diff FROM e a JOIN e b USING (parcel_id)")
+def _(s, d):
+    e = evaluated(s, d)
+    return rounded(e.select("parcel_id", "p").join(e.select("parcel_id", "p2"), "parcel_id").select("parcel_id", (F.col("p") - F.col("p2")).alias("diff")))
+
+
 @query("jn10_semi", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
 def _(s, d):
     return table(s, d, "orders").join(table(s, d, "lineitem").where("l_quantity > 45"), F.expr("o_orderkey = l_orderkey"), "left_semi").select("o_orderkey")
@@ -258,6 +264,12 @@ def _(s, d):
     return rounded(resampling.holm(own, "p", ["p_brand"], "p_partkey").select("p_partkey", "p_holm"))
 
 
+@query("rs05_holm_whole", "WITH x AS (SELECT p_brand, p_partkey, p_size / 500 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS m FROM x) SELECT p_partkey, round(least(1, max((m - r + 1) * p) OVER (PARTITION BY p_brand ORDER BY p, p_partkey)), 9) AS p_holm FROM r")
+def _(s, d):
+    own = table(s, d, "part").select("p_brand", "p_partkey", (F.col("p_size") / 500).alias("p"))
+    return rounded(resampling.holm(own, "p", ["p_brand"], "p_partkey").select("p_partkey", "p_holm"))
+
+
 @query("rs11_wilson", f"{E}, g AS (SELECT fold, sum(y) AS h, count(*) AS n FROM e GROUP BY fold), f AS (SELECT fold, h / n AS f, n, 1.959963984540054 AS z FROM g) SELECT fold, round((f + z * z / (2 * n) - z * sqrt(f * (1 - f) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((f + z * z / (2 * n) + z * sqrt(f * (1 - f) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM f")
 def _(s, d):
     own = evaluated(s, d).groupBy("fold").agg(F.sum("y").alias("h"), F.count("*").alias("n"))
