@@ -68,19 +68,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     return prior, [(w, *x) for w, x in sorted(out.items())]
 
 
-def posteriors(docs: DataFrame, model: tuple[list[float], list[tuple[int, float, float]]]) -> DataFrame:
-    """doc_id, n_tokens (words) and p_toxic, p_low, p_high, which sum to 1. Each word counts once; null text has the prior."""
+def posteriors(docs: DataFrame, model: tuple[list[float], list[tuple[int, float, float]]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the other columns of keep, n_tokens (words) and p_toxic, p_low, p_high, which sum to 1. Each word counts once; null text has the prior."""
     prior, told = model
     known, first, second = (F.from_json(F.lit(json.dumps([t[i] for t in told])), f"array<{kind}>") for i, kind in enumerate(("bigint", "double", "double")))
-    own = docs.select("doc_id", _words(F.col("text")).alias("w"))
-    own = own.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.transform(F.array_intersect(known, F.col("w")), lambda w: F.array_position(known, w).cast("int") - 1).alias("w"))
+    ids = ["doc_id", *(c for c in keep if c != "doc_id")]
+    own = docs.select(*ids, _words(F.col("text")).alias("w"))
+    own = own.select(*ids, F.size("w").cast("long").alias("n_tokens"), F.transform(F.array_intersect(known, F.col("w")), lambda w: F.array_position(known, w).cast("int") - 1).alias("w"))
 
     def total(start: float, table: Column) -> Column:
         return F.exp(F.greatest(F.least(F.aggregate("w", F.lit(float(start)), lambda a, w: a + F.get(table, w)), F.lit(40.0)), F.lit(-40.0)))
 
     own = own.withColumn("e0", total(prior[0], first)).withColumn("e1", total(prior[1], second))
     whole = F.col("e0") + F.col("e1") + 1
-    return own.select("doc_id", "n_tokens", (F.col("e0") / whole).alias("p_toxic"), (F.col("e1") / whole).alias("p_low"), (1 / whole).alias("p_high"))
+    return own.select(*ids, "n_tokens", (F.col("e0") / whole).alias("p_toxic"), (F.col("e1") / whole).alias("p_low"), (1 / whole).alias("p_high"))
 
 
 def rate(steps: list[tuple[float, ...]]) -> Column:
@@ -114,14 +115,14 @@ def fit_rates(known: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: flo
     return steps
 
 
-def mix_sources(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, p_toxic, p_low, p_high, rate (of copies in the mixture), copies.
+def mix_sources(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, the other columns of keep, n_tokens, p_toxic, p_low, p_high, rate (of copies in the mixture), copies.
 
     copies: rate rounded down or up by a hash of doc_id, so that it is the rate on average; null doc_id has the hash's
     value for null. Null or empty text has few tokens and the prior's posteriors. Repeated rows count as often as they
     stand. Without labels all posteriors are a third. Empty table: no rows.
     """
-    known = materialise(posteriors(docs, fit(docs, labels)))
+    known = materialise(posteriors(docs, fit(docs, labels), keep))
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_003)) / 1_000_003.0
     out = known.withColumn("rate", rate(fit_rates(known, weights)))
     return out.withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
