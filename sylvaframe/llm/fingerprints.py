@@ -1,66 +1,93 @@
-"""Winnowing fingerprints, in Spark expressions only.
+"""Winnowing fingerprints.
 
-Rolling hashes of K words in a row; of each W in a row the smallest is chosen, the rightmost of equal ones, with its
-position. Texts that share K + W - 1 words in a row share a chosen hash.
+Hashes of K code points in a row; of each W in a row the smallest is chosen, the rightmost of equal ones, with its
+position. Texts that share K + W - 1 code points in a row share a chosen hash. Runs of white space count as one space, and
+none at the ends. Ids, edited texts and their order come from Spark expressions, the hashes from NumPy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 3
-W = 4
+from sylvaframe.llm.common import U, grams, mix, slices
+
+K = 10
+W = 25
 #: Parts of the id range for each shuffle partition, so that parts even out.
 PARTS = 6
-#: A prime below 2 ** 29: rolling hashes stay within 64 bits.
-_P = 536_870_909
-_B = 257_003
-
-
-def winnowed(text: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<hash, pos>> of a text's chosen hashes; pos counts words from 0. Fewer than k words hash as one."""
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    codes = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(_P)))
-
-    def roll(h: Column) -> Column:
-        def at(i: Column) -> Column:
-            # An array of k codes, the first the oldest, as a polynomial.
-            value = F.get(h, i)
-            for j in range(1, k):
-                value = F.pmod(value * _B + F.get(h, i + j), F.lit(_P))
-            return value
-
-        n = F.size(h)
-        whole = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.pmod(a * _B + x, F.lit(_P))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), at))
-
-    def choose(g: Column) -> Column:
+#: So many code points of one text are worked on at a time.
+STEP = 1_000_000
+#: White space; the last place stands for all code points beyond.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+
+
+def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen hashes of 32 bits and their positions in the text, in code points from 0. Fewer than k code points hash as one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    at = np.flatnonzero(kept).astype(np.int32)
+    if len(at) and space[at[-1]]:
+        at = at[:-1]
+    n = len(at)
+    if not n:
+        return np.zeros(0, np.int64), at
+    k = min(k, n)
+    last = max(1, n - k + 1 - w + 1)  # windows
+    chosen = []
+    for start in range(0, last, STEP):
+        places = at[start : min(start + STEP, last) + w - 1 + k - 1]
+        g = grams(mix(np.where(space[places], 32, codes[places]).astype(U)), k)
         # Hash and position as one number: the least is the smallest hash, rightmost of equal ones.
-        keyed = lambda i: F.get(g, i) * F.lit(1 << 34) - i.cast("long")
-        least = lambda i: F.least(*[keyed(F.least(i + j, F.size(g) - 1)) for j in range(w)])
-        mins = F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), least)
-        return F.when(F.size(g) == 0, F.array().cast("array<bigint>")).otherwise(mins)
-
-    def once(m: Column) -> Column:
-        return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, F.greatest(i - 1, F.lit(0)))))
-
-    def apart(x: Column) -> Column:
-        high = F.shiftright(x + F.lit((1 << 34) - 1), 34)
-        return F.struct(high.alias("hash"), (high * F.lit(1 << 34) - x).cast("int").alias("pos"))
-
-    return _let(codes, lambda h: _let(roll(h), lambda g: _let(choose(g), lambda m: F.transform(once(m), apart))))
-
-
-def _let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two arrays of hashes; 1 for two empty ones."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, 1.0).otherwise(both / either)
+        least = (g >> U(32) << U(32)) | (U(0xFFFFFFFF) - np.arange(len(g), dtype=U))
+        wide, length = min(w, len(g)), 1
+        while length < wide:
+            step = min(length, wide - length)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            length += step
+        least = least[np.concatenate(([True], least[1:] != least[:-1]))]
+        places = (U(0xFFFFFFFF) - (least & U(0xFFFFFFFF))).astype(np.int64) + start
+        chosen.append((places, (least >> U(32)).astype(np.int64)))
+    places, hashes = (np.concatenate(x) for x in zip(*chosen, strict=True))
+    once = np.concatenate(([True], places[1:] != places[:-1]))
+    return hashes[once], at[places[once]]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two sets of hashes; 1 for two empty ones."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def _lists(fps: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(h) for h, _ in fps]))).astype(np.int32)
+    hashes, places = (np.concatenate(x) for x in zip(*fps, strict=True))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], ["hash", "pos"]))
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_chars, edited_sha256, text, edited, next_text, in order of doc_id, to the columns of fingerprints()."""
+    after, after_fp = None, None
+    for piece, texts in slices(batches):
+        own, edited, near_edited, near_next = [], [], [], []
+        for text, other, following in zip(texts, piece.column(4).cast(pa.binary()).to_pylist(), piece.column(5).cast(pa.binary()).to_pylist(), strict=True):
+            # Mostly a row's text is the one that followed the row before.
+            fp = after_fp if text == after else winnow(text.decode("utf-8", "replace"))
+            changed = winnow(other.decode("utf-8", "replace"))
+            after, after_fp = following, winnow(following.decode("utf-8", "replace"))
+            own.append(fp)
+            edited.append(changed)
+            near_edited.append(likeness(fp[0], changed[0]))
+            near_next.append(likeness(fp[0], after_fp[0]))
+        yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(3)), _lists(own), _lists(edited), pa.array(near_edited, pa.float64()), pa.array(near_next, pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
 
 
 def shown(fp: Column) -> Column:
@@ -103,8 +130,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     two = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     two = two.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    fp = two.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowed(F.col("text")).alias("fp"), winnowed(F.col("edited")).alias("edited_fp"), winnowed(F.col("next_text")).alias("next_fp"))
-    return fp.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp.hash"), F.col("edited_fp.hash")).alias("near_edited"), likeness(F.col("fp.hash"), F.col("next_fp.hash")).alias("near_next"))
+    two = two.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    fp = "array<struct<hash: bigint, pos: int>>"
+    return two.mapInArrow(_marked, f"doc_id long, n_chars long, edited_sha256 string, fp {fp}, edited_fp {fp}, near_edited double, near_next double")
 
 
 def fingerprint_digests(docs: DataFrame) -> DataFrame:

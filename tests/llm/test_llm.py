@@ -215,3 +215,39 @@ def test_html_repeated_text_is_the_templates(spark):
     assert [got[10 + i] for i in range(9)] == [f"Long own text of page number {i}." for i in range(9)]
     assert [got[20 + i] for i in range(5)] == [whole(7)] * 5 and [got[30 + i] for i in range(2)] == [whole(0), whole(1)]
     assert [got[40 + i] for i in range(6)] == [whole(0), whole(1), *[f"Alone {i}." for i in range(2, 6)]]
+
+
+@pytest.mark.parametrize("step", [7, 1_000_000])
+def test_winnow_against_brute_force(monkeypatch, step):
+    monkeypatch.setattr(fingerprints, "STEP", step)
+    import numpy as np
+
+    from sylvaframe.llm import common
+
+    rnd = random.Random(10)
+    k, w = 4, 5
+    for _ in range(300):
+        text = "".join(rnd.choice("ab中 　\xa0\n😀") for _ in range(rnd.randint(0, 60)))
+        at = [i for i, c in enumerate(text) if not c.isspace() or (i and not text[i - 1].isspace())]
+        while at and text[at[0]].isspace():
+            at = at[1:]
+        if at and text[at[-1]].isspace():
+            at = at[:-1]
+        flat = " ".join(text.split())
+        size = min(k, len(flat))
+        gram = lambda x: int(common.grams(common.mix(np.array(list(map(ord, x)), common.U)), size)[0]) >> 32  # noqa: B023, E731
+        told = [gram(flat[i : i + size]) for i in range(len(flat) - size + 1)] if flat else []
+        chosen = sorted({min(range(s, min(s + w, len(told))), key=lambda i: (told[i], -i)) for s in range(max(1, len(told) - w + 1))}) if told else []
+        hashes, places = fingerprints.winnow(text, k, w)
+        assert (hashes.tolist(), places.tolist()) == ([told[i] for i in chosen], [at[i] for i in chosen])
+
+
+def test_fingerprints_of_text_without_spaces_and_with_typos(spark):
+    rnd = random.Random(11)
+    han = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(300))
+    prose = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(200)]
+    typos = ["x" + v[1:] if i % 6 == 0 else v for i, v in enumerate(prose)]
+    texts = [han, han[:150] + "a" + han[151:], " ".join(prose), " ".join(typos), "　".join(prose)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].near_next > 0.7 and 0.2 < got[2].near_next < 1
+    assert [x.hash for x in got[4].fp] == [x.hash for x in got[2].fp] and len(got[0].fp) > 10
