@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at a time in a Python worker.
@@ -27,12 +27,16 @@ def with_ids(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a temp folder of our own only where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or on a single machine (local master) the warehouse where it is unset.
+
+    On a cluster without the setting there is no folder that all executors are known to see: that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sylvaframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sylvaframe-tables"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -74,25 +78,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII bytes that are no letters.
 NON_LETTER = np.array([i < 128 and not chr(i).isalpha() for i in range(256)])
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        inverse = U(pow(int(_BASE), -1, 1 << 64))
-        up, down = np.full(size, _BASE, U), np.full(size, inverse, U)
-        up[0] = down[0] = 1
-        _powers.clear()
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
+def _named(words: pa.Array) -> np.ndarray:
+    """64-bit XXH3 hashes of distinct words."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    raw, digest = data.to_pybytes(), xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], U)
 
 
 def word_hashes(texts: list[bytes], lower: bool = False, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words of all texts: 64-bit hash, number of the text, first byte and end in the joined buffer, which is returned too.
 
-    A word is a maximal run of bytes that `apart` doesn't mark. Hashes are polynomial over the bytes, so they come from
-    one running sum; equal words have equal hashes in every process.
+    A word is a maximal run of bytes that `apart` doesn't mark. Words are told apart by their bytes (an Arrow
+    dictionary), and only the distinct ones are hashed; equal words have equal hashes in every process. Hashes find
+    candidates; where equality decides a result, the words themselves are compared.
     """
     joined = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
@@ -101,15 +102,15 @@ def word_hashes(texts: list[bytes], lower: bool = False, apart: np.ndarray = _SP
     if not gap[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    sums = buf.astype(U)
+    if not len(starts):
+        return np.zeros(0, U), np.zeros(0, np.int64), starts, ends, joined
     if lower:
-        sums += U(32) * ((buf >= 65) & (buf <= 90)).astype(U)
-    up, down = _pow(len(buf) + 1)
-    sums += U(1)
-    sums *= up[: len(buf)]
-    np.cumsum(sums, out=sums)
-    before = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], U(0))
-    hashes = mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(U)) if len(starts) else np.zeros(0, U)
+        buf = buf + np.uint8(32) * ((buf >= 65) & (buf <= 90)).astype(np.uint8)
+    # Words and the gaps after them take turns as values of one Arrow array over the buffer.
+    offsets = np.append(edge, len(buf)).astype(np.int32)
+    values = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = values.take(pa.array(np.arange(0, len(edge), 2, dtype=np.int32))).dictionary_encode()
+    hashes = _named(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.cumsum(lengths + 1) - (lengths + 1)
     doc = np.searchsorted(offsets, starts, side="right") - 1

@@ -84,9 +84,9 @@ def _settle(later: bool, key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> p
 
 
 def _flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], later: bool = False) -> Iterator[pa.RecordBatch]:
-    if parts:
+    if any(len(key) for key, _, _ in parts):
         yield _settle(later, *(np.concatenate(x) for x in zip(*parts, strict=True)))
-        parts.clear()
+    parts.clear()
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

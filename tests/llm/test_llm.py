@@ -73,6 +73,86 @@ def test_ngram_jaccard(spark, share, n):
     assert got == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def thue_morse(n, first="a", second="b"):
+    """A word and its complement: a polynomial hash modulo 2^64 can't tell them apart, whatever its base."""
+    out = first
+    while len(out) < n:
+        out += out.translate(str.maketrans(first + second, second + first))
+    return out, out.translate(str.maketrans(first + second, second + first))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(4096)
+    tail = " ".join(f"t{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, x), (4, y), (5, f"{x} {tail}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def near_misses(n, words, changes, seed):
+    """Texts that differ from one text in `changes` places each."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for at in rnd.sample(range(words), changes):
+            own[at] = f"c{rnd.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("changes", [1, 2, 3, 4])
+def test_ngram_jaccard_of_a_crowd(spark, monkeypatch, block, changes):
+    """Many near copies of one text, about as alike as links ask for, in few and in many blocks; with nulls, repeats and short texts."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    texts = near_misses(40, 90, changes, 3 + changes) + [None, "", "one", "ONE", "a b", "a  B"]
+    sets = {i: ngram_jaccard._shingles((t or "").encode()) for i, t in enumerate(texts)}
+    up = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+    rows = [(i, t, 7) for i, t in enumerate(texts)] + [(5, texts[5], 7), (None, "x y z", 7)]
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()}
+    assert got == {*up.items(), (None, None)}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert ngram_jaccard.jaccard_components(empty).count() == 0
+
+
+def test_pieces_of_sets_that_link_meet():
+    """Every two sets that link share a key, also where threes of segments and deletions are allotted."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    for pieces in (None, (0, 1, 0), (2, 1, 1), (3, 0, 2), (1, 2, 0)):
+        ngram_jaccard._PLANS.clear()
+        if pieces:
+            plan = []
+            for lo, hi, *_ in ngram_jaccard.bands(400):
+                apart = 2 * (hi - 1) * 15 // 115
+                alone, threes, doubles = pieces[0], pieces[1], pieces[2]
+                alone = max(0, apart + 1 + 3 - 2 * (threes + doubles)) if lo > 20 else 4 + apart
+                plan.append((lo, hi, alone, *((threes, doubles, 3) if lo > 20 else (0, 0, 3))))
+            ngram_jaccard._PLANS[85] = plan + [(plan[-1][1], 1 << 40, 500, 0, 0, 3)]
+        for _ in range(150):
+            n = int(rnd.integers(1, 300))
+            a = rnd.integers(0, 2**63, n).astype(np.uint64)
+            b = a.copy()
+            for at in rnd.integers(0, n, int(rnd.integers(0, n // 8 + 2))):
+                b[at] = rnd.integers(0, 2**63)
+            b = b[: n - int(rnd.integers(0, n // 10 + 1))]
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                key, whose = ngram_jaccard.set_keys(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), 2)
+                assert set(key[whose == 0].tolist()) & set(key[whose == 1].tolist())
+    ngram_jaccard._PLANS.clear()
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
