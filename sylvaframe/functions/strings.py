@@ -13,7 +13,7 @@ def clean(value: Column) -> Column:
 
 def pairs(value: Column) -> Column:
     """array<struct<share, code>>, larger shares first, then by code."""
-    shares, codes = (F.regexp_extract_all(value, F.lit(r"(\d{1,2})([A-Z]+)"), F.lit(i)) for i in (1, 2))
+    shares, codes = (F.regexp_extract_all(value, F.lit(r"(\d{1,2})([A-Z]{2,4})"), F.lit(i)) for i in (1, 2))
     both = F.transform(F.arrays_zip(shares.alias("s"), codes.alias("c")), lambda x: F.struct((-x["s"].cast("int")).alias("m"), x["c"].alias("code")))
     return F.transform(F.array_sort(both), lambda x: F.struct((-x["m"]).alias("share"), x["code"].alias("code")))
 

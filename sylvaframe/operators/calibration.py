@@ -69,3 +69,8 @@ def best_temperature(df: DataFrame, low: float = 0.05, high: float = 20.0, round
         at = min(range(len(grid)), key=lambda i: (math.inf if row[i] is None else row[i], i))
         low, high = grid[max(0, at - 1)], grid[min(width, at + 1)]
     return math.sqrt(low * high)
+
+
+def best_method(scores: DataFrame) -> DataFrame:
+    """The row of `scores` (method, ece, brier) with the least ece, then brier, then name."""
+    return scores.orderBy("ece", "brier", "method").limit(1)

@@ -52,3 +52,12 @@ def ranking(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 def long(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """One row per keys and metric."""
     return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("x")).select(*keys, "x.*")
+
+
+def weighted_ranking(df: DataFrame, weight: str, keys: list[str] = ()) -> DataFrame:
+    """Average precision and ROC-AUC per keys, each row counted `weight` times; null where a class is missing."""
+    by = df.where("p IS NOT NULL").groupBy(*keys, "p").agg(F.sum(F.col("y") * F.col(weight)).alias("pos"), F.sum(weight).alias("n"))
+    down, whole = Window.partitionBy(*keys).orderBy(F.desc("p")), Window.partitionBy(*keys)
+    c = by.select("*", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("hits"), F.sum("pos").over(whole).alias("_pos"), F.sum("n").over(whole).alias("_all"))
+    neg, all_neg = F.col("n") - F.col("pos"), F.col("_all") - F.col("_pos")
+    return c.groupBy(*keys).agg(F.sum(F.col("pos") / F.nullif(F.col("_pos"), F.lit(0)) * F.col("tp") / F.col("hits")).alias("pr_auc"), F.sum(F.col("pos") * (all_neg - (F.col("hits") - F.col("tp")) + neg / 2) / F.nullif(F.col("_pos") * all_neg, F.lit(0))).alias("roc_auc"))

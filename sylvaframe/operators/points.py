@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _shared(df: DataFrame) -> DataFrame:
-    """df written once and read again, where the session has a shared checkpoint folder; else cached."""
+    """df written once and read again: in the shared checkpoint folder or, with a local master and none set, in the warehouse."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        return df.cache()
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sylvaframe-tables"
     path = f"{found.rstrip('/')}/points-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,13 +69,13 @@ def variogram(points: DataFrame, value: str, lags: int, reach: float) -> DataFra
 
 
 def moran(points: DataFrame, value: str, reach: float) -> DataFrame:
-    """One row: moran_i with row-standardised weights of neighbours within reach, expected_i and mean_neighbours."""
+    """One row: moran_i with row-standardised weights of neighbours within reach (null without any), expected_i and mean_neighbours."""
     mean = points.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count("*").alias("n"))
     per = within(points, reach, value).groupBy("id", value).agg(F.avg(f"other_{value}").alias("near"), F.count("*").alias("k"))
     sums = per.agg(F.sum(F.col(value) * F.col("near")).alias("zz"), F.sum(value).alias("z"), F.sum("near").alias("nz"), F.count("*").alias("s0"), F.sum("k").alias("links"))
     one = sums.crossJoin(F.broadcast(mean))
     cross = F.col("zz") - F.col("m") * (F.col("z") + F.col("nz")) + F.col("s0") * F.col("m") ** 2
-    return one.select((cross / (F.col("s0") * F.col("v"))).alias("moran_i"), (-1 / (F.col("n") - 1)).alias("expected_i"), (F.col("links") / F.col("n")).alias("mean_neighbours"))
+    return one.select((cross / (F.col("s0") * F.col("v"))).alias("moran_i"), (-1 / (F.col("n") - 1)).alias("expected_i"), (F.coalesce("links", F.lit(0)) / F.col("n")).alias("mean_neighbours"))
 
 
 def groups(edges: DataFrame) -> DataFrame:
@@ -118,3 +120,14 @@ def interpolate(df: DataFrame, x: Column, knots: list[tuple[float, float]]) -> D
     for (a, p), (b, q) in zip(knots, knots[1:], strict=False):
         y = y.when(x <= b, p + (x - a) * ((q - p) / (b - a)))
     return df.withColumn("y", F.when(x.isNotNull(), y.otherwise(F.lit(float(knots[-1][1])))))
+
+
+def lag_centres(spark: SparkSession, edges: list[float]) -> DataFrame:
+    """(i, centre): the middle of each lag class from the upper edges, the first from 0."""
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit((a + b) / 2).alias("centre")) for i, (a, b) in enumerate(zip([0.0, *edges[:-1]], edges, strict=True))])
+    return spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
+
+
+def unresolved(reach: Column, longest: float, lags: int, part: float = 0.9) -> Column:
+    """Whether a fitted range is missing, at least `part` of the longest lag, or under a lag's width."""
+    return reach.isNull() | F.isnan(reach.cast("double")) | (reach >= part * longest) | (reach < longest / lags)

@@ -76,3 +76,50 @@ def count_windows(df: DataFrame, keys: list[str], width: int, *order: Column) ->
     own = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_c", F.count("*").over(w))
     own = own.withColumn("win", F.explode(F.array(F.floor(F.col("_i") / step), F.floor(F.col("_i") / step) - 1)))
     return own.where((F.col("win") >= 0) & (F.col("win") * step + width <= F.col("_c"))).drop("_i", "_c")
+
+
+def near_end(x: Column, low: float, high: float, part: float = 0.02) -> tuple[Column, Column]:
+    """Whether x is within such a part of a range of its low and of its high end."""
+    return x <= low + part * (high - low), x >= high - part * (high - low)
+
+
+def probability_class(p: Column, n: int) -> Column:
+    """The label of the equal-width class of p: `[a, b)`, the last `[a, b]`."""
+    i = F.least(F.floor(p * n), F.lit(n - 1))
+    return F.concat(F.format_string("[%.2f, %.2f", i / n, (i + 1) / n), F.when(i == n - 1, "]").otherwise(")"))
+
+
+def with_specs(df: DataFrame, specs: dict[str, list]) -> DataFrame:
+    """df's rows once for each combination of the given values, which come in as literals."""
+    for name, values in specs.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
+def placed(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """df with `place` in order within keys, from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def sampled(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The n rows with the least keys, a sample without replacement if these are random: each task keeps n rows at most."""
+    return df.orderBy(*order).limit(n)
+
+
+def newest_complete(runs: DataFrame, parts: DataFrame, needed: int) -> DataFrame:
+    """The largest run with at least `needed` distinct parts."""
+    done = parts.groupBy("run").agg(F.count_distinct("part").alias("n")).where(F.col("n") >= needed)
+    return runs.join(done, "run", "left_semi").agg(F.max("run").alias("run"))
+
+
+def with_group_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """df with `total`, the sum of its group: a partial aggregation and a join, so that a large group needs no single task."""
+    return df.join(df.groupBy(*keys).agg(F.sum(value).alias("total")), keys)
+
+
+def first_valid(frames: dict, keys: list[str], value: str) -> DataFrame:
+    """Per keys the value of the first frame (by its number) that has one, in one aggregation."""
+    from functools import reduce
+
+    long = reduce(DataFrame.union, [f.select(*keys, F.lit(i).alias("_i"), value) for i, f in frames.items()])
+    return long.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_i"))).alias(value))

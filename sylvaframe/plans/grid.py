@@ -110,7 +110,7 @@ def _(s, d):
     return rounded(points.variogram(placed(s, d), "v", 8, 40.0), 2)
 
 
-@query("ac05_moran", f"WITH p AS ({POINTS}), m AS (SELECT id, x, y, v - avg(v) OVER () AS z, count(*) OVER () AS n FROM p), w AS (SELECT l.id, any_value(l.z) AS z, avg(q.z) AS near, count(*) AS k FROM m l JOIN m q ON l.id <> q.id AND sqrt((l.x - q.x) ** 2 + (l.y - q.y) ** 2) <= 12 GROUP BY l.id) SELECT round(sum(z * near) / count(*) / (SELECT avg(z * z) FROM m), 6) AS moran_i, round(-1 / (any_value(n.n) - 1), 6) AS expected_i, round(sum(k) / any_value(n.n), 6) AS mean_neighbours FROM w, (SELECT count(*) AS n FROM p) n")
+@query("ac05_moran", f"WITH p AS ({POINTS}), m AS (SELECT id, x, y, v - avg(v) OVER () AS z, count(*) OVER () AS n FROM p), w AS (SELECT l.id, any_value(l.z) AS z, avg(q.z) AS near, count(*) AS k FROM m l JOIN m q ON l.id <> q.id AND sqrt((l.x - q.x) ** 2 + (l.y - q.y) ** 2) <= 12 GROUP BY l.id) SELECT round(sum(z * near) / count(*) / (SELECT avg(z * z) FROM m), 6) AS moran_i, round(-1 / ((SELECT count(*) FROM p) - 1), 6) AS expected_i, round(coalesce(sum(k), 0) / (SELECT count(*) FROM p), 6) AS mean_neighbours FROM w")
 def _(s, d):
     return rounded(points.moran(placed(s, d), "v", 12.0), 6)
 
