@@ -2,11 +2,12 @@
 
 A token is an element's path of structural tags, or a block of text with its path. Its occurrence vector over the pages
 of a host is kept as counts and an exclusive-or of hashes of (page, occurrences), which parts of a host can be merged
-from: tokens with equal sums have equal vectors and form a class. Paths that most pages of the host have, and blocks of
-text in classes that most pages have and that hold enough text not to be chance, are nested by their paths the host's
-template, whose slots hold the text. The slot that holds the article is found per host from the slots' names and the
-text that isn't the template's; the pages' text in it is returned, without the template's text and the parts that are
-menus, comments and the like.
+from: tokens with equal sums have equal vectors and form a class. Classes that most pages have are valid; those of paths
+that stand once on each page are the template's regions, nested by their paths, and blocks of text in classes that hold
+enough text not to be chance are the template's own text. What isn't the template's fills the slots: the innermost
+region that holds most of this text, over all pages of the host, is the article's slot, and the pages' text in it is
+returned, without the template's text and the parts that are menus, comments and the like. Elements' names tell the
+slot only where a host has too few pages for classes.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ SUPPORT = 0.5
 TEXT_PAGES = 3
 #: ... and the letters of the class's text times its pages but one come to so many.
 EVIDENCE = 100
+#: A region is the slot if it holds such a part of the text that isn't the template's.
+MOST = 0.6
 #: The table of slots is broadcast up to so many hosts; beyond, pages and slots are joined by salted host.
 BROADCAST_HOSTS = 20_000
-SALTS = 16
+SALTS = 64
 # Elements by what they mean for the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -44,11 +47,16 @@ OUT = frozenset("nav footer aside form menu dialog".split())
 SELF_CLOSING = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split())}
 OUT_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist respond disqus reply replies discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup subscription share sharing social related recommended footer masthead toolbar pagination pager skip login search widget".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Words that may stand beside these in a name; any other word makes the name one of the article's.
+BESIDE = frozenset("site page top bottom left right center middle wrapper wrap container box area bar slot list item block section primary secondary global header inner outer content post article header unit text inline mobile desktop".split())
 MAIN_NAMES = frozenset("article post entry content story main body".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!(?!--)[^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_KNOWN = frozenset("class id role hidden aria-hidden".split())
 _NAME = re.compile(r"[a-z]+")
+#: Elements that hold a piece of text, not a region.
+_HOLDER = re.compile(r"(^|/)(p|li|dt|dd|h\d|td|th|blockquote|pre|figcaption|caption|summary)(\.[^/]*)?$")
 _OPTION_ENDS = frozenset("option optgroup select datalist".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
@@ -60,18 +68,20 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
+            if name not in _KNOWN:
+                continue
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 out = True
             elif name == "role":
                 out |= value in OUT_ROLES
                 main |= value in ("main", "article")
             elif name in ("class", "id") and tag not in ("html", "body"):
-                words = _NAME.findall(value)
+                names = [_NAME.findall(x) for x in value.split()]
+                words = [w for x in names for w in x]
                 token += "." + "-".join(words)
-                if not OUT_NAMES.isdisjoint(words) and tag not in ("article", "main"):
-                    out = True
-                elif tag == "article" and not OUT_NAMES.isdisjoint(words):
-                    out |= not MAIN_NAMES.intersection(words)
+                # A name is that of a menu and the like only as a whole: `cookie-notice` is, `notice-period` isn't.
+                if any(not OUT_NAMES.isdisjoint(x) and OUT_NAMES.union(BESIDE).issuperset(x) for x in names):
+                    out |= tag != "main" and (tag != "article" or MAIN_NAMES.isdisjoint(words))
                 main |= not MAIN_NAMES.isdisjoint(words)
     return token, out, main and not out
 
@@ -224,16 +234,21 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(told, pa.int64()), pa.array(pages, pa.int64()), pa.array(n, pa.int64()), pa.array(mix(np.array(code, U)).view(np.int64)), pa.array(size, pa.int64()), pa.array(links, pa.int64()), pa.array(out, pa.int32())], names=["host", "token", "told", "pages", "n", "code", "size", "links", "out"])
 
 
-def _template(tokens: list) -> list:
-    """The blocks of text of the host's template: those of classes with enough text on enough pages."""
-    classes: dict[tuple, list] = {}
+def _classes(tokens: list) -> dict[tuple, list]:
+    """Tokens by occurrence vector: pages, occurrences, and the vector's hash."""
+    out: dict[tuple, list] = {}
     for t in tokens:
-        if t["told"] and t["pages"] >= TEXT_PAGES:
-            classes.setdefault((t["pages"], t["n"], t["code"]), []).append(t)
-    return [t for key, group in classes.items() if (key[0] - 1) * sum(t["size"] for t in group) >= EVIDENCE * key[0] for t in group]
+        out.setdefault((t["pages"], t["n"], t["code"]), []).append(t)
+    return out
+
+
+def _template(classes: dict[tuple, list]) -> list:
+    """The blocks of text of the host's template: those of classes with enough text on enough pages."""
+    told = {key: [t for t in group if t["told"]] for key, group in classes.items() if key[0] >= TEXT_PAGES}
+    return [t for key, group in told.items() if (key[0] - 1) * sum(t["size"] for t in group) >= EVIDENCE * key[0] for t in group]
 
 
-def _slot(tokens: list, template: list) -> str:
+def _slot(classes: dict[tuple, list], template: list, host_pages: int) -> str:
     """The path of the host's article slot. tokens: (token, told, pages, n, code, size, links, out)."""
     fixed: dict[str, list[int]] = {}
     for t in template:
@@ -241,34 +256,36 @@ def _slot(tokens: list, template: list) -> str:
         own[0] += t["size"]
         own[1] += t["links"]
     plain = lambda ts: sum(t["size"] - t["links"] for t in ts)
-    valid = [t for t in tokens if not t["told"] and not t["out"]]
+    paths = [t for group in classes.values() for t in group if not t["told"] and not t["out"]]
     tokens = []
-    for t in valid:
+    for t in paths:
         size, links = fixed.get(t["token"], (0, 0))
         tokens.append({**t, "size": t["size"] - size, "links": t["links"] - links})
-    # Where all pages are copies of one, no text is left to go by.
-    tokens = valid = tokens if plain(tokens) else valid
-    names = {"article": [], "main": []}
-    for t in valid:
+    inside = lambda root: [t for t in tokens if t["token"] == root or t["token"].startswith(root + "/")]
+    # Where all pages are copies of one, no text is left to go by, and names must do.
+    whole = plain(tokens)
+    if host_pages >= TEXT_PAGES and whole:
+        regions = [t["token"] for key, group in classes.items() if key[0] == key[1] for t in group if not t["told"] and not t["out"] and not _HOLDER.search(t["token"])]
+        return max((r for r in regions if plain(inside(r)) >= MOST * whole), key=lambda r: (r.count("/"), r), default="")
+    tokens = tokens if whole else paths
+    names: dict[str, list[str]] = {"article": [], "main": []}
+    for t in paths:
         last = t["token"].rsplit("/", 1)[-1].split(".")[0]
         if last in names:
-            names[last].append(t)
-    inside = lambda root: [t for t in tokens if t["token"] == root or t["token"].startswith(root + "/")]
-    for group in (names["article"], names["main"]):
+            names[last].append(t["token"])
+    for group in names.values():
         if group:
-            return max(group, key=lambda t: (plain(inside(t["token"])), -len(t["token"])))["token"]
-    # No element is named for it: the deepest valid token that still holds most of the text outside links.
-    whole = plain(tokens)
-    deep = [t for t in valid if plain(inside(t["token"])) >= 0.6 * whole and not re.search(r"(^|/)(p|li|h\d|td|blockquote|pre)[^/]*$", t["token"])]
-    return max(deep, key=lambda t: t["token"].count("/"), default={"token": ""})["token"] if whole else ""
+            return max(group, key=lambda r: (plain(inside(r)), -len(r), r))
+    return ""
 
 
 def _slots(group):
     import pandas as pd
 
-    tokens = group.to_dict("records")
-    template = _template(tokens)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [_slot(tokens, template)], "template": [sorted(t["told"] for t in template)]})
+    tokens = group.sort_values(["token", "told"]).to_dict("records")
+    classes = _classes(tokens)
+    template = _template(classes)
+    return pd.DataFrame({"host": [tokens[0]["host"]], "slot": [_slot(classes, template, tokens[0]["host_pages"])], "template": [sorted(t["told"] for t in template)]})
 
 
 def main_text(page: str, slot: str, template: Container[int] = ()) -> str:

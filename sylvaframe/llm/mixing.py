@@ -1,9 +1,9 @@
 """Mixing sources to target weights by soft membership, in Spark expressions only.
 
 A classifier learned from a labelled table gives each document posteriors over domains (toxic, low and high quality).
-Document rates r >= 0 minimise sum_d (sum_i r_i t_i p_id - b_d)^2 / s_d, with tokens t, posteriors p, targets b and the
-domains' expected tokens s, by projected gradient steps in the metric of t. A document's rate after any number of steps
-follows from its posteriors and the gradients so far, which are one number a domain and step: a step is one aggregation.
+Document rates r >= 0 minimise sum_d (sum_i r_i t_i p_id - b_d)^2, with tokens t, posteriors p and targets b, and among
+rates that do, lie nearest to 1: r_i = max(0, 1 - sum_d p_id m_d). The three numbers m follow by gradient steps, scaled by
+the curvature of the documents whose rate isn't 0 and projected on r >= 0; a step is one aggregation over all documents.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ FEATURES = 400
 SURE = 6.0
 #: ... and if it is so many times as frequent in one domain: words of a language mustn't add up to a verdict.
 LIFT = 4.0
-STEPS = 25
-#: Steps end when every domain is so near to its target, as a part of all tokens.
-NEAR = 1e-3
+#: Steps end when every domain is so near to its target, as a part of all tokens ...
+NEAR = 1e-6
+#: ... or when a step is cut to so small a part without gain: then no rates are nearer.
+LEAST_STEP = 1e-3
 
 
 def _words(text: Column) -> Column:
@@ -48,10 +50,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     n = named.count()
     part = min(1.0, fit_rows / max(1, n))
     some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
-    mine = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("d", _words(F.col("text")).alias("w"))
-    # Copies would pass for evidence: of documents that share their least hash of five words, one counts.
+    mine = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "d", _words(F.col("text")).alias("w"))
+    # Copies would pass for evidence: of documents that share their least hash of five words, that with the smallest id counts.
     five = F.transform("w", lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + j) for j in range(1, 5)]))
-    mine = materialise(mine.withColumn("sketch", F.array_min(five)).dropDuplicates(["sketch"]).select("d", F.array_distinct("w").alias("w")))
+    one = mine.withColumn("sketch", F.array_min(five)).groupBy("sketch").agg(F.min(F.struct("doc_id", "d", F.array_distinct("w").alias("w"))).alias("x"))
+    mine = materialise(one.select("x.d", "x.w"))
     rows = {r["d"]: r["n"] for r in mine.groupBy("d").agg(F.count("*").alias("n")).collect()}
     r = [rows.get(d, 0) for d in range(3)]
     prior = [math.log((x + 1) / (r[2] + 1)) for x in r[:2]]
@@ -84,39 +87,54 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[tuple[int, float,
     return own.select(*ids, "n_tokens", (F.col("e0") / whole).alias("p_toxic"), (F.col("e1") / whole).alias("p_low"), (1 / whole).alias("p_high"))
 
 
-def rate(steps: list[tuple[float, ...]]) -> Column:
-    """The rate after the given steps (the gradient of each domain) from rate 1."""
-    if not steps:
-        return F.lit(1.0)
-    grads = F.array(*[F.struct(*[F.lit(float(g)).alias(f"g{d}") for d, g in enumerate(s)]) for s in steps])
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    return F.aggregate(grads, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - (p[0] * g["g0"] + p[1] * g["g1"] + p[2] * g["g2"])))
+def rate(m: list[float]) -> Column:
+    """The rate of a document for the three numbers m."""
+    moved = sum((F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, m, strict=True)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1 - moved)
 
 
-def fit_rates(known: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float | None = None) -> list[tuple[float, ...]]:
-    """Steps that lead to rates whose expected tokens by domain are weights * total.
+def fit_rates(known: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float | None = None) -> tuple[list[float], float]:
+    """The numbers m whose rates' expected tokens by domain are weights * total, and the largest miss as a part of total.
 
-    total: of tokens; by default as many as let every domain with a weight of a tenth or more keep all its tokens.
+    total: of tokens; by default as many as let every domain with a weight of a tenth or more keep all its tokens. The miss
+    is over NEAR only where no rates match: where posteriors don't tell the domains apart, or a domain has no tokens.
     """
-    sums = lambda r: known.agg(*[F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()
-    share = [float(x or 0.0) for x in sums(F.lit(1.0))]
-    if not sum(share):
-        return []
-    total = total or max(s / w for s, w in zip(share, weights, strict=True) if w >= 0.1)
-    target = [w * total for w in weights]
-    steps: list[tuple[float, ...]] = []
-    now = share
-    for _ in range(STEPS):
-        if max(abs(a - b) for a, b in zip(now, target, strict=True)) <= NEAR * total:
-            break
-        # The metric's operator has no eigenvalue over 1, so whole steps are safe.
-        steps.append(tuple((a - b) / s if s else 0.0 for a, b, s in zip(now, target, share, strict=True)))
-        now = [float(x or 0.0) for x in sums(rate(steps))]
-    return steps
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+
+    def sums(m: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        r, t = rate(m), F.col("n_tokens")
+        live = F.when(r > 0, t).otherwise(0)
+        row = known.agg(*[F.sum(r * t * x) for x in p], *[F.sum(live * p[i] * p[j]) for i, j in pairs]).first()
+        row = [float(x or 0.0) for x in row]
+        curve = np.zeros((3, 3))
+        for (i, j), x in zip(pairs, row[3:], strict=True):
+            curve[i, j] = curve[j, i] = x
+        return np.array(row[:3]), curve
+
+    m = np.zeros(3)
+    now, curve = sums(m.tolist())
+    if not now.sum():
+        return m.tolist(), 0.0
+    total = total or max(float(s) / w for s, w in zip(now, weights, strict=True) if w >= 0.1) or float(now.sum())
+    target = np.array(weights) * total
+    miss = float(np.abs(now - target).max()) / total
+    part = 1.0
+    while miss > NEAR and part >= LEAST_STEP:
+        step = np.linalg.lstsq(curve, now - target, rcond=1e-12)[0]
+        tried, bent = sums((m + part * step).tolist())
+        if np.square(tried - target).sum() < np.square(now - target).sum() * (1 - 1e-6):
+            m, now, curve, part = m + part * step, tried, bent, min(1.0, 2 * part)
+            miss = float(np.abs(now - target).max()) / total
+        else:
+            part /= 2
+    return m.tolist(), miss
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, the other columns of keep, n_tokens, p_toxic, p_low, p_high, rate (of copies in the mixture), copies.
+    """Per row of docs: doc_id, the other columns of keep, n_tokens, p_toxic, p_low, p_high, rate (of copies in the mixture), copies, miss.
+
+    miss: how far the expected tokens are from the targets, as a part of the mixture; the same for all rows (see fit_rates).
 
     copies: rate rounded down or up by a hash of doc_id, so that it is the rate on average; null doc_id has the hash's
     value for null. Null or empty text has few tokens and the prior's posteriors. Repeated rows count as often as they
@@ -124,5 +142,6 @@ def mix_sources(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] =
     """
     known = materialise(posteriors(docs, fit(docs, labels), keep))
     u = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_003)) / 1_000_003.0
-    out = known.withColumn("rate", rate(fit_rates(known, weights)))
-    return out.withColumn("copies", F.floor(F.col("rate") + u).cast("long"))
+    m, miss = fit_rates(known, weights)
+    out = known.withColumn("rate", rate(m))
+    return out.withColumn("copies", F.floor(F.col("rate") + u).cast("long")).withColumn("miss", F.lit(miss))

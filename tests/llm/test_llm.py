@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small tables with nulls, empty and repeated rows and clashing names."""
 
 import hashlib
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.llm import bpe, chat_format, fingerprints, html_extract, language_id, mixing, ngram_jaccard, queries, substring_dedup, topk_search, url_filter
 
+SF = os.environ.get("SYLVAFRAME_TEST_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, starts int"
 
 
@@ -245,9 +247,24 @@ def test_mixing(spark):
     out = mixing.mix_sources(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     rate = {k: sum(r.rate for r in out if r.doc_id < 600 and r.doc_id % 3 == k) / 200 for k in range(3)}
     assert rate[0] < 0.1 < rate[1] and rate[2] > 0.9
+    tokens = [sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS]
+    assert all(abs(x / sum(tokens) - w) < 1e-5 for x, w in zip(tokens, mixing.WEIGHTS, strict=True)) and all(r.miss < 1e-6 for r in out)
     assert len(out) == len(rows) and all(abs(r.p_toxic + r.p_low + r.p_high - 1) < 1e-9 for r in out)
 
 
+def test_mixing_meets_its_targets_on_the_test_table_and_edges(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clash = docs.withColumn("rate", F.lit(1)).withColumn("quality", F.lit(2)).withColumn("miss", F.lit("x"))
+    one = mixing.mix_sources(clash, labels).collect()
+    two = mixing.mix_sources(docs.orderBy(F.desc("doc_id")), labels).collect()
+    tokens = [sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in one) for d in mixing.DOMAINS]
+    assert all(abs(x / sum(tokens) - w) < 1e-5 for x, w in zip(tokens, mixing.WEIGHTS, strict=True))
+    assert {r.doc_id: round(r.rate, 6) for r in one} == {r.doc_id: round(r.rate, 6) for r in two}
+    none = mixing.mix_sources(docs, labels.where("false")).first()
+    assert none.p_low == pytest.approx(1 / 3) and none.miss > 0.1
+    assert mixing.mix_sources(docs.where("false"), labels).count() == 0
+
+
 def test_html(spark):
     page = lambda body: f"<html><body><nav><a href=/>Menu</a></nav><header>Site</header><div class='cookie-notice'>Accept</div>{body}<aside>Side</aside><footer>&copy; x</footer></body></html>"
     rows = [(i, f"http://h.net/{i}", page(f"<article><h1>T{i}</h1><p>a &amp; <b>b</b>\n c<p>d<script>var t='</p>'</script><section class=comments><p>nice</p></section></article>")) for i in range(6)]
@@ -305,6 +322,51 @@ def test_html_unclosed_elements_end():
     assert text("<article>a<script>b<p>c") == "a"
 
 
+def test_html_attributes_are_read_whole():
+    text = lambda page: html_extract.main_text(page, "")
+    for kept in ('<p title="a hidden gem">x</p>', '<p data-id="ad-3">x</p>', "<p data-role=navigation>x</p>", '<p class="notice-period">x</p>', "<p title='class=ad'>x</p>", "<div class=share-capital>x</div>", "<p title=\"x' hidden y\">x</p>"):
+        assert text(f"<article>{kept}</article>") == "x", kept
+    for gone in ("<p hidden>x</p>", '<p class="big ad">x</p>', "<div class=cookie-notice>x</div>", "<div id='comments-area'>x</div>", "<p aria-hidden=true>x</p>", "<div role=navigation>x</div>"):
+        assert text(f"<article>{gone}y</article>") == "y", gone
+
+
+def test_html_classes_against_brute_force_and_without_names(spark, monkeypatch):
+    """No element is named: classes alone tell the article's region. Both joins give the same. Vectors equal those counted by hand."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(8):
+        menu = "".join(f"<div><a href=/{word()}>{word()}</a></div>" for _ in range(5))
+        body = "".join(f"<p>{word()} {word()} {word()} {word()}</p>" for _ in range(rnd.randint(2, 5)))
+        rows.append((i, f"http://u.net/{i}", f"<body><div><div>{menu}</div></div><div><section><h2>{word()}</h2>{body}</section></div><div><span>{word()}</span></div></body>"))
+    schema = "page_id long, url string, html string, host string, slot int, salt int"
+    pages = spark.createDataFrame([(*r, "x", 1, 2) for r in [*rows, (99, None, None), rows[0]]], schema)
+    told = {i: " ".join(__import__("re").findall(r"<(?:h2|p)>([^<]*)", h)) for i, _, h in rows}
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {**told, 99: ""}
+    monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == got
+    assert html_extract.extract(pages.where("false")).count() == 0
+    import pyarrow as pa
+
+    own = pages.where("page_id < 8").dropDuplicates(["page_id"]).selectExpr("page_id", "'u.net' AS host", "html").collect()
+    vectors = {}
+    for r in own:
+        for path, _, text, _ in html_extract.blocks(r.html):
+            if not text:
+                vectors.setdefault("/".join(path), {}).setdefault(r.page_id, 0)
+                vectors["/".join(path)][r.page_id] += 1
+    batch = pa.RecordBatch.from_pydict({"page_id": [r.page_id for r in own], "host": ["u.net"] * len(own), "html": [r.html for r in own]})
+    sums = [t for b in html_extract._tokens(iter([batch])) for t in b.to_pylist() if not t["told"]]
+    classes = {}
+    for t in sums:
+        classes.setdefault((t["pages"], t["n"], t["code"]), set()).add(t["token"])
+    brute = {}
+    for path, v in vectors.items():
+        brute.setdefault(tuple(sorted(v.items())), set()).add(path)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, brute.values()))
+
+
 def test_html_repeated_text_is_the_templates(spark):
     legal, more = "This site is run without any warranty by its owner.", "Call us on 555."
     named = lambda i: f"<body><article><h1>T{i}</h1><div>{legal}</div><p>Own text {i}.</p><div class=x><p>{more}</p></div></article></body>"
