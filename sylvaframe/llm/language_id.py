@@ -152,7 +152,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def constant(scores: np.ndarray, lang: int, switch: float = SWITCH) -> bool:
-    """Whether staying with lang is surely best: no run of words gains as much elsewhere as leaving costs."""
+    """Whether staying with lang, the best by sums, is surely best: no run of words gains as much elsewhere as leaving costs."""
     gain = scores - scores[:, lang : lang + 1]
     gain[:, lang] = -np.inf
     g = np.cumsum(gain.max(1))

@@ -1,10 +1,10 @@
-"""Substring dedup by recompression.
+"""Substring dedup: candidates at recompression boundaries, whole windows compared by 92-bit hashes.
 
-Two rounds of recompression name runs and pairs of tokens; a name is a 64-bit hash of what it stands for, so it is the
-same in every document and needs no dictionary. A round's pairing depends on the tokens beside it only, so equal
-passages carry the same interior symbols. In every window of 13 words one symbol boundary is chosen (the least name of
-the eight words around it, boundaries before other places). Boundaries whose name occurs in two documents reveal
-possible repeats; only windows around these are then compared, whole, by their 13-word hash.
+Two levels of recompression name pairs of tokens; a name is a hash of what it stands for, so it is the same in every
+document and needs no dictionary. A level's pairing depends on the tokens beside it only, so equal passages have the same
+boundaries inside. In every window of 13 words one place is chosen (the least name of the eight words around it, symbol
+boundaries before other places). Places whose name occurs in two documents reveal possible repeats; only windows around
+these are then compared, by a hash of all their 13 words.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from sylvaframe.llm.common import U, grams, mix, signed, slices, with_ids, word_
 WINDOW = 13
 #: Words on either side of a boundary that its name covers.
 SIDE = 4
+#: Bits of a place's name that are kept: names only lead to candidates.
+PLACE_BITS = U((1 << 52) - 1)
 #: Anchors that a worker gathers before it looks for repeats among them.
 CHUNK = 800_000
 #: mark: twice the word's number in the document, plus 1 if the row is settled where it was made.
 _BOUNDARY = "key long, doc_id long, mark int"
+#: ... in the windows' rows, with 28 bits of a second hash above it.
+_WINDOW = "key long, doc_id long, mark long"
 
 
 def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -64,40 +68,42 @@ def anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return at, name[at]
 
 
-def _settle(later: bool, key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def _settle(later: bool, key: np.ndarray, ids: np.ndarray, pos: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     """Rows of a chunk: those of a hash's smallest document keep it as key; the others are settled here, and dealt out apart.
 
     Settled rows: their hash has several documents in this chunk or, with later, a smaller one.
     """
-    order = np.lexsort((ids, key))
-    key, ids, pos = key[order], ids[order], pos[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
+    order = np.lexsort((ids, more, key))
+    key, ids, pos, more = key[order], ids[order], pos[order], more[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
     group = np.cumsum(new) - 1
     first = ids[new][group]
     last = ids[np.concatenate((new[1:], [True]))][group]
     follows = ids != first
     # Settled rows of a document go together, and all rows leave in document order: so they compress well.
     key = np.where(follows, mix(mix(ids.view(U))), key)
+    more = np.where(follows, 0, more)
     back = np.argsort(order)
-    mark = (2 * pos + (follows if later else first != last)).astype(np.int32)
+    mark = 2 * pos + (follows if later else first != last)
+    mark = (more << 32) + mark if later else mark.astype(np.int32)
     return pa.RecordBatch.from_arrays([signed(key[back]), pa.array(ids[back]), pa.array(mark[back])], names=["key", "doc_id", "mark"])
 
 
-def _flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], later: bool = False) -> Iterator[pa.RecordBatch]:
-    if any(len(key) for key, _, _ in parts):
+def _flush(parts: list[tuple[np.ndarray, ...]], later: bool = False) -> Iterator[pa.RecordBatch]:
+    if any(len(part[0]) for part in parts):
         yield _settle(later, *(np.concatenate(x) for x in zip(*parts, strict=True)))
     parts.clear()
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     size = 0
     for piece, texts in slices(batches):
         ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         h, doc, *_ = word_hashes(texts)
         at, name = anchors(h, doc)
         first = np.searchsorted(doc, np.arange(len(texts)))
-        parts.append((name, ids[doc[at]], at - first[doc[at]]))
+        parts.append((name & PLACE_BITS, ids[doc[at]], at - first[doc[at]], np.zeros(len(at), np.int64)))
         if (size := size + len(at)) >= CHUNK:
             yield from _flush(parts)
             size = 0
@@ -106,7 +112,7 @@ def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """13-word hashes of the windows around the given boundaries (column 2) of each document."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     size = 0
     for piece, texts in slices(batches):
         ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,7 +127,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j in range(SIDE, WINDOW - SIDE + 1):
             wanted[np.maximum(given - j, 0)] = True
         starts = np.flatnonzero(wanted[: n - WINDOW + 1] & (doc[: n - WINDOW + 1] == doc[WINDOW - 1 :]))
-        parts.append((grams(h, WINDOW)[starts], ids[doc[starts]], starts - first[doc[starts]]))
+        more = grams(mix(h ^ U(0x6A09E667F3BCC909)), WINDOW)[starts] >> U(36)
+        parts.append((grams(h, WINDOW)[starts], ids[doc[starts]], starts - first[doc[starts]], more.astype(np.int64)))
         if (size := size + len(starts)) >= CHUNK:
             yield from _flush(parts, True)
             size = 0
@@ -164,8 +171,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = own.where("text IS NOT NULL").mapInArrow(_boundaries, _BOUNDARY)
     shared = found.selectExpr("doc_id", "mark", "(mark & 1) = 1 OR min(doc_id) OVER (PARTITION BY key) < max(doc_id) OVER (PARTITION BY key) AS flag").where("flag")
     marks = shared.groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("marks"))
-    windows = own.join(marks, "doc_id").mapInArrow(_windows, _BOUNDARY)
-    least = windows.selectExpr("doc_id", "mark", "min(doc_id) OVER (PARTITION BY key) AS least")
+    windows = own.join(marks, "doc_id").mapInArrow(_windows, _WINDOW)
+    split = windows.selectExpr("key", "doc_id", "cast(shiftright(mark, 32) AS int) AS more", "cast(mark & 4294967295 AS int) AS mark")
+    least = split.selectExpr("doc_id", "mark", "min(doc_id) OVER (PARTITION BY key, more) AS least")
     return least.where("least < doc_id OR (mark & 1) = 1").groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("starts"))
 
 

@@ -13,8 +13,7 @@ from sylvaframe.llm.common import materialise
 #: (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 30
-#: Rounds end when the scores move less than this in all.
+#: Rounds end when the scores move less than this in all, which they do: each moves them by DAMPING of the last at most.
 SETTLED = 1e-6
 #: A host is blocked if its distrust is over this part of the mean seed's and over its trust.
 THRESHOLD = 0.2
@@ -57,7 +56,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, seed: str, forward: bool) -> D
     score = materialise(base.withColumn("score", F.col("seed")))
     if not step.limit(1).count():
         return score.select("host", "score")
-    for _ in range(ROUNDS):
+    while True:
         came = step.join(score.select(F.col("host").alias("a"), "score"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("w") * F.col("score")).alias("came"))
         new = score.join(came, "host", "left").select("host", "seed", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0))).alias("new"), "score")
         new = materialise(new.select("host", "seed", F.col("new").alias("score"), F.abs(F.col("new") - F.col("score")).alias("moved")))

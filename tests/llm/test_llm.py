@@ -417,3 +417,78 @@ def test_fingerprints_of_text_without_spaces_and_with_typos(spark):
     got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0].near_next > 0.7 and 0.2 < got[2].near_next < 1
     assert [x.hash for x in got[4].fp] == [x.hash for x in got[2].fp] and len(got[0].fp) > 10
+
+
+def test_viterbi_against_all_labelings():
+    """The path scores as much as the best of all labelings, less a switch's cost for each change."""
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(9)
+    for _ in range(200):
+        n, k = int(rnd.integers(1, 7)), int(rnd.integers(1, 4))
+        scores = np.round(rnd.normal(0, 6, (n, k)), 1)
+        worth = lambda path: sum(scores[i, x] for i, x in enumerate(path)) - 5.0 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max(map(worth, itertools.product(range(k), repeat=n)))
+        path = language_id.viterbi(scores.copy(), 5.0)
+        assert worth(path.tolist()) == pytest.approx(best)
+        lang = int(scores.sum(0).argmax())
+        if language_id.constant(scores, lang, 5.0):
+            assert worth([lang] * n) == pytest.approx(best)
+
+
+def test_language_id_edges(spark):
+    rows = [(1, "the house and the water", "en"), (2, "das haus und das wasser", "de"), (3, "", "en"), (4, "дом и вода", "ru"), (4, "дом и вода", "ru"), (None, "the house", None), (5, "the water " * 40_000, None), (6, "1 2 !", None), (8, "水", None)]
+    docs = spark.createDataFrame([(i, t, x, "clash", 0.5) for i, t, x in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = sorted(((r.doc_id, r.lang_pred, r.score) for r in language_id.identify(docs.select("doc_id", "text", "lang"), docs.where("doc_id IS NOT NULL"), spans=False).collect()), key=repr)
+    told = {i: x for i, x, _ in got}
+    assert (told[1], told[2], told[4], told[3], told[6], told[5]) == ("en", "de", "ru", "und", "und", "en") and len(got) == len(rows)
+    assert language_id.identify_held_out(docs.where("false")).count() == 0
+    assert {r.lang_pred for r in language_id.identify_held_out(docs).where("doc_id = 4").collect()} == {"ru"}
+
+
+def test_pagerank_against_power_iteration(spark):
+    """Trust along links and distrust against them, as by matrices in NumPy; hubs, ties, repeats, nulls and clashing names."""
+    import numpy as np
+
+    rnd = random.Random(2)
+    hosts = [f"h{i}.net" for i in range(8)] + ["a.org", "b.org", "x.com"]
+    rows = []
+    for i in range(40):
+        src = rnd.choice(hosts)
+        path = "/de/1" if src == "x.com" and i % 2 else "/p"
+        links = "".join(f'<a href="https://{rnd.choice(hosts)}/q">l</a>' for _ in range(rnd.randint(0, 4)))
+        rows.append((i, f"https://{src}{path}", links, "clash", 0.1))
+    rows += [rows[0], (90, None, "<a href=https://a.org/>", "c", 0.2), (91, "none", None, "c", 0.3), (92, "https://lone.net/", None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, trust double")
+    got = url_filter.judge_urls(df).collect()
+    assert len(got) == len(rows) and url_filter.judge_urls(df.where("false")).count() == 0
+    names = sorted({r.host for r in got if r.host} | set(hosts))
+    at = {h: i for i, h in enumerate(names)}
+    w, good, bad, pages = (np.zeros((len(names), len(names))), *(np.zeros(len(names)) for _ in range(3)))
+    for _, url, html, *_ in rows:
+        if not url or "://" not in url:
+            continue
+        h = url.split("//")[1].split("/")[0]
+        pages[at[h]] += 1
+        rule = "allow" if h.endswith("org") else "block" if h == "x.com" and "/de/" in url else None
+        good[at[h]] += rule == "allow"
+        bad[at[h]] += rule == "block"
+        for to in (html or "").split('href="https://')[1:]:
+            to = to.split("/")[0]
+            w[at[h], at[to]] += to != h
+    good, bad = good / np.maximum(pages, 1), bad / np.maximum(pages, 1)
+
+    def rank(m, seed):
+        m = m / np.maximum(m.sum(1, keepdims=True), 1)
+        seed = seed / (seed.sum() or 1)
+        x = seed.copy()
+        for _ in range(500):
+            x = (1 - url_filter.DAMPING) * seed + url_filter.DAMPING * (m.T @ x)
+        return x
+
+    trust, distrust = rank(w, good), rank(w.T, bad)
+    for r in got:
+        if r.host:
+            assert r.trust == pytest.approx(trust[at[r.host]], abs=1e-5) and r.distrust == pytest.approx(distrust[at[r.host]], abs=1e-5)
