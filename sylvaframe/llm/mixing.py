@@ -28,6 +28,8 @@ FEATURES = 400
 SURE = 6.0
 #: ... and if it is so many times as frequent in one domain: words of a language mustn't add up to a verdict.
 LIFT = 4.0
+#: The mixture has so many times the tokens that let the larger domains keep all of theirs, so that clean documents' rates don't fall below 1.
+SPARE = 1.01
 #: Steps end when every domain is so near to its target, as a part of all tokens ...
 NEAR = 1e-6
 #: ... or when a step is cut to so small a part without gain: then no rates are nearer.
@@ -116,7 +118,7 @@ def fit_rates(known: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: flo
     now, curve = sums(m.tolist())
     if not now.sum():
         return m.tolist(), 0.0
-    total = total or max(float(s) / w for s, w in zip(now, weights, strict=True) if w >= 0.1) or float(now.sum())
+    total = total or SPARE * max(float(s) / w for s, w in zip(now, weights, strict=True) if w >= 0.1) or float(now.sum())
     target = np.array(weights) * total
     miss = float(np.abs(now - target).max()) / total
     part = 1.0
