@@ -47,6 +47,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to pick out documents, at most (16 MB); more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The docs whose doc_id is among the ids (a written table with a column doc_id): so few ids leave the texts where they are."""
+    from pyspark.sql import functions as F
+
+    few = ids.limit(FEW + 1).count() <= FEW
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of the batches with at most SLICE_BYTES of text (or one row), with their texts as bytes; null is empty."""
     for batch in batches:
