@@ -74,3 +74,28 @@ def best_temperature(df: DataFrame, low: float = 0.05, high: float = 20.0, round
 def best_method(scores: DataFrame) -> DataFrame:
     """The row of `scores` (method, ece, brier) with the least ece, then brier, then name."""
     return scores.orderBy("ece", "brier", "method").limit(1)
+
+
+#: Fitters by name: each takes a frame (y, p) and returns a function that adds `calibrated`.
+METHODS = {"isotonic": isotonic, "platt": logistic, "beta": lambda df: logistic(df, True), "temperature": lambda df: (lambda t: lambda frame: frame.withColumn("calibrated", tempered(F.col("p"), F.lit(t))))(best_temperature(df))}
+
+
+def fit(df: DataFrame, method: str):
+    """The calibrator of that name, fitted to (y, p)."""
+    if method not in METHODS:
+        raise ValueError(f"no method {method}; there are {', '.join(sorted(METHODS))}")
+    return METHODS[method](df)
+
+
+def compared(df: DataFrame, methods: list[str], folds: int, *order: Column) -> DataFrame:
+    """(method, ece, mce, brier, log_loss) on held-out parts, stratified by y: rows are dealt to the parts in order within each class."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    dealt = df.withColumn("_k", F.row_number().over(Window.partitionBy("y").orderBy(*order)) % folds)
+    rows = []
+    for method in methods:
+        parts = [fit(dealt.where(F.col("_k") != k), method)(dealt.where(F.col("_k") == k)).select("y", F.col("calibrated").alias("p")) for k in range(folds)]
+        rows.append(errors(reduce(DataFrame.union, parts)).withColumn("method", F.lit(method)))
+    return reduce(DataFrame.unionByName, rows)

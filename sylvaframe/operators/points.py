@@ -131,3 +131,44 @@ def lag_centres(spark: SparkSession, edges: list[float]) -> DataFrame:
 def unresolved(reach: Column, longest: float, lags: int, part: float = 0.9) -> Column:
     """Whether a fitted range is missing, at least `part` of the longest lag, or under a lag's width."""
     return reach.isNull() | F.isnan(reach.cast("double")) | (reach >= part * longest) | (reach < longest / lags)
+
+
+#: Variogram models: the part of the sill at distance h for a range a.
+MODELS = {"spherical": lambda h, a: F.when(h < a, 1.5 * h / a - 0.5 * (h / a) ** 3).otherwise(1.0), "exponential": lambda h, a: 1 - F.exp(-3 * h / a), "gaussian": lambda h, a: 1 - F.exp(-3 * (h / a) ** 2)}
+
+
+def fitted_variogram(lags: DataFrame, longest: float, steps: int = 60) -> DataFrame:
+    """(model, reach, nugget, sill, rmse): per model the range on a grid up to `longest` with the least squares of nugget and sill, from (h, gamma)."""
+    from functools import reduce
+
+    parts = []
+    for name, shape in MODELS.items():
+        own = lags.select("h", "gamma", F.explode(F.array(*[F.lit(longest * (i + 1) / steps) for i in range(steps)])).alias("reach")).withColumn("s", shape(F.col("h"), F.col("reach")))
+        slope = F.regr_slope("gamma", "s")
+        per = own.groupBy("reach").agg(F.greatest(slope, F.lit(0.0)).alias("sill"), F.avg("gamma").alias("g"), F.avg("s").alias("m"))
+        per = per.withColumn("nugget", F.greatest(F.col("g") - F.col("sill") * F.col("m"), F.lit(0.0))).drop("g", "m")
+        miss = own.join(F.broadcast(per), "reach").groupBy("reach", "nugget", "sill").agg(F.sqrt(F.avg((F.col("gamma") - F.col("nugget") - F.col("sill") * F.col("s")) * (F.col("gamma") - F.col("nugget") - F.col("sill") * F.col("s")))).alias("rmse"))
+        parts.append(miss.select(F.lit(name).alias("model"), "reach", "nugget", "sill", "rmse").orderBy("rmse", "reach").limit(1))
+    return reduce(DataFrame.union, parts)
+
+
+def permuted_moran(points: DataFrame, value: str, reach: float, permutations: int = 99, seed: int = 0) -> DataFrame:
+    """One row: moran_i, p (pseudo, one-sided towards the observed side) and z over seeded permutations of the values among the points.
+
+    Neighbours are found once; each permutation is a key of one aggregation over them, with values dealt by seeded ranks.
+    """
+    from pyspark.sql import Window
+
+    near = _shared(within(points, reach).groupBy("id").agg(F.collect_list("other").alias("others")).select("id", F.explode("others").alias("other"), (1 / F.size("others")).alias("w")))
+    ids = points.select("id", F.col(value).alias("v"), F.row_number().over(Window.orderBy("id")).alias("at"))
+    tries = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    key = F.when(F.col("k") == 0, F.col("at").cast("long")).otherwise(F.xxhash64("id", "k", F.lit(seed)))
+    dealt = tries.withColumn("to", F.row_number().over(Window.partitionBy("k").orderBy(key, "id"))).select("k", "to", "v").join(ids.select("id", F.col("at").alias("to")), "to")
+    mean = points.agg(F.avg(value).alias("m"), F.var_pop(value).alias("s"), F.count("*").alias("n"))
+    own = dealt.crossJoin(F.broadcast(mean)).select("k", "id", (F.col("v") - F.col("m")).alias("z"), "s")
+    pair = near.join(own, "id").join(own.select("k", F.col("id").alias("other"), F.col("z").alias("z2")), ["k", "other"])
+    sums = pair.groupBy("k").agg((F.sum(F.col("w") * F.col("z") * F.col("z2")) / (F.count_distinct("id") * F.max("s"))).alias("i"))
+    seen = sums.agg(F.max(F.when(F.col("k") == 0, F.col("i"))).alias("moran_i"), F.avg(F.when(F.col("k") > 0, F.col("i"))).alias("mean"), F.stddev_pop(F.when(F.col("k") > 0, F.col("i"))).alias("sd"))
+    both = sums.where("k > 0").crossJoin(F.broadcast(seen))
+    far = F.when(F.col("moran_i") >= F.col("mean"), F.col("i") >= F.col("moran_i")).otherwise(F.col("i") <= F.col("moran_i"))
+    return both.groupBy("moran_i", "mean", "sd").agg(((F.count(F.when(far, 1)) + 1) / (F.count("*") + 1)).alias("p")).select("moran_i", "p", ((F.col("moran_i") - F.col("mean")) / F.col("sd")).alias("z"))
