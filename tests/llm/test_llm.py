@@ -492,3 +492,44 @@ def test_pagerank_against_power_iteration(spark):
     for r in got:
         if r.host:
             assert r.trust == pytest.approx(trust[at[r.host]], abs=1e-5) and r.distrust == pytest.approx(distrust[at[r.host]], abs=1e-5)
+
+
+def test_fingerprint_edges(spark):
+    schema = "doc_id long, text string, fp int, n_chars string"
+    lone = fingerprints.fingerprints(spark.createDataFrame([(5, "abcdefghijkl", 1, "x")], schema)).collect()
+    assert len(lone) == 1 and lone[0].near_next == 1.0
+    assert fingerprints.fingerprints(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "first of all", 1, None), (1, None, 1, "x"), (2, "", 1, "x"), (3, "tie", 1, "x"), (3, "tie", 1, "x"), (4, "long " * 300_000, 1, "x")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.n_chars for r in got) == sorted(len(t or "") for _, t, *_ in rows)
+    long = next(r for r in got if r.doc_id == 4)
+    assert long.edited_sha256 == hashlib.sha256(("long " * 300_000)[:750_000].encode() + b"first of all").hexdigest()
+
+
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted int"
+    assert chat_format.format_chats(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, 0, "user", "a", 1), (None, 1, "assistant", "b", 1), (1, 0, "assistant", "x", 1), (1, 0, "assistant", "x", 1), (2, 0, "assistant", "y" * 1_000_000, 1)]
+    got = {r.conv_id: r for r in chat_format.chat_digests(chat_format.format_chats(spark.createDataFrame(rows, schema))).collect()}
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 1) and (got[1].n_turns, got[1].loss_chars) == (2, 2) and got[2].loss_chars == 1_000_000
+
+
+def test_bpe_edges(spark):
+    schema = "doc_id long, text string, ids int, decoded int"
+    path = queries.vocabulary()
+    assert bpe.bpe(spark.createDataFrame([], schema), path).count() == 0
+    rows = [(None, "null id", 1, 1), (1, "the house " * 50_000, 1, 1), (1, "the house " * 50_000, 1, 1)]
+    got = bpe.bpe(spark.createDataFrame(rows, schema), path).collect()
+    assert sorted(r.decoded for r in got) == sorted(t for _, t, *_ in rows)
+
+
+@pytest.mark.parametrize("name", ["op1_topk_search", "op5_chat_format"])
+def test_oracle(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    told = con.execute(queries.ORACLES[name])
+    cols = [x[0] for x in told.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(*cols).collect())) == sorted(told.fetchall())
