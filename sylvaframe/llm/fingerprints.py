@@ -1,93 +1,86 @@
-"""Winnowing fingerprints.
+"""Winnowing fingerprints, in Spark expressions.
 
 Hashes of K code points in a row; of each W in a row the smallest is chosen, the rightmost of equal ones, with its
 position. Texts that share K + W - 1 code points in a row share a chosen hash. Runs of white space count as one space, and
-none at the ends. Ids, edited texts and their order come from Spark expressions, the hashes from NumPy.
+none at the ends; positions count code points of the text so spaced, from 0. Hashes roll by doubling: those of 2, 4 and 8
+code points are made of two of half the length, and that of K of two of 8. They have 52 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, mix, slices
-
 K = 10
 W = 25
 #: Parts of the id range for each shuffle partition, so that parts even out.
 PARTS = 6
-#: So many code points of one text are worked on at a time.
-STEP = 1_000_000
-#: White space; the last place stands for all code points beyond.
-_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
-
-
-def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes of 32 bits and their positions in the text, in code points from 0. Fewer than k code points hash as one."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
-    kept = ~space
-    kept[1:] |= ~space[:-1]
-    at = np.flatnonzero(kept).astype(np.int32)
-    if len(at) and space[at[-1]]:
-        at = at[:-1]
-    n = len(at)
-    if not n:
-        return np.zeros(0, np.int64), at
-    k = min(k, n)
-    last = max(1, n - k + 1 - w + 1)  # windows
-    chosen = []
-    for start in range(0, last, STEP):
-        places = at[start : min(start + STEP, last) + w - 1 + k - 1]
-        g = grams(mix(np.where(space[places], 32, codes[places]).astype(U)), k)
-        # Hash and position as one number: the least is the smallest hash, rightmost of equal ones.
-        least = (g >> U(32) << U(32)) | (U(0xFFFFFFFF) - np.arange(len(g), dtype=U))
-        wide, length = min(w, len(g)), 1
-        while length < wide:
-            step = min(length, wide - length)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            length += step
-        least = least[np.concatenate(([True], least[1:] != least[:-1]))]
-        places = (U(0xFFFFFFFF) - (least & U(0xFFFFFFFF))).astype(np.int64) + start
-        chosen.append((places, (least >> U(32)).astype(np.int64)))
-    places, hashes = (np.concatenate(x) for x in zip(*chosen, strict=True))
-    once = np.concatenate(([True], places[1:] != places[:-1]))
-    return hashes[once], at[places[once]]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+#: Places of one piece of a text; a long and so many places share 64 bits.
+PLACES = 4096
+#: Windows that start in one piece; it also holds the code points that the last of them reaches to.
+STEP = PLACES - W + 1
+_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _doubled(a: Column, width: int, join: Callable[[Column, Column], Column], last: Callable[[Column, Column], Column] = lambda x, i: x) -> Column:
+    """By place, `width` elements in a row joined to one: each time two of the width before, as far apart as is due. `last` gets each and its place."""
+    steps, reach = [], 1
+    while reach < width:
+        steps.append(min(reach, width - reach))
+        reach += steps[-1]
+
+    def joined(a: Column, rest: list[int]) -> Column:
+        end = last if len(rest) == 1 else lambda x, i: x
+        b = F.transform(a, lambda x, i: end(join(x, F.get(a, i + F.lit(rest[0]))), i))
+        return b if len(rest) == 1 else _let(b, lambda c: joined(c, rest[1:]))
+
+    return joined(a, steps)
+
+
+def _placed(x: Column, i: Column) -> Column:
+    """A hash above, and the place counted down below: of equal hashes the rightmost is the least."""
+    return x.bitwiseAND(F.lit(-PLACES).cast("long")).bitwiseOR((F.lit(PLACES - 1) - i).cast("long"))
+
+
+def _chosen(piece: Column, number: Column) -> Column:
+    """Hashes and positions chosen in the windows that start in one piece of a text."""
+
+    def marked(codes: Column) -> Column:
+        n = F.size(codes)
+        grams = F.slice(_doubled(codes, K, F.xxhash64, _placed), F.lit(1), n - F.lit(K - 1))
+        # A text shorter than a window is one window; of a later piece the piece before has it already.
+        windows = F.slice(_let(grams, lambda g: _doubled(g, W, F.least)), F.lit(1), F.greatest(F.lit(1), n - F.lit(K + W - 2)))
+        put = lambda x: F.struct(F.shiftright(x, 12).alias("hash"), (F.lit(PLACES - 1) - x.bitwiseAND(F.lit(PLACES - 1).cast("long")) + number.cast("long") * STEP).cast("int").alias("pos"))
+        return F.transform(F.array_distinct(windows), put)
+
+    n = F.char_length(piece)
+    whole = F.array(F.struct(F.shiftright(F.xxhash64(piece), 12).alias("hash"), F.lit(0).alias("pos")))
+    none = F.slice(whole, F.lit(1), F.lit(0))
+    return F.when((number > 0) & (n < K + W - 1), none).when(n < K, whole).otherwise(_let(F.split(piece, ""), marked))
+
+
+def winnow(text: Column) -> Column:
+    """array<struct<hash: bigint, pos: int>> of the chosen hashes, by position. Fewer than K code points hash as one; none: empty."""
+    spaced = F.trim(F.regexp_replace(text, _SPACE, " "))
+    # A text is cut in one pass, and worked on piece by piece; each piece reads on into the next.
+    cut = lambda t: F.when(F.char_length(t) <= STEP, F.filter(F.array(t), lambda x: x != "")).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0)))
+    onward = lambda p: F.transform(p, lambda x, i: _let(F.concat(x, F.coalesce(F.left(F.get(p, i + F.lit(1)), F.lit(K + W - 2)), F.lit(""))), lambda y: _chosen(y, i)))
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x["pos"] != F.get(a, i - F.lit(1))["pos"]))
+    return _let(spaced, lambda t: _let(cut(t), lambda p: _let(F.flatten(onward(p)), once)))
+
+
+def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two sets of hashes; 1 for two empty ones."""
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
-    return both / either if either else 1.0
-
-
-def _lists(fps: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(h) for h, _ in fps]))).astype(np.int32)
-    hashes, places = (np.concatenate(x) for x in zip(*fps, strict=True))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(places, pa.int32())], ["hash", "pos"]))
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_chars, edited_sha256, text, edited, next_text, in order of doc_id, to the columns of fingerprints()."""
-    after, after_fp = None, None
-    for piece, texts in slices(batches):
-        own, edited, near_edited, near_next = [], [], [], []
-        for text, other, following in zip(texts, piece.column(4).cast(pa.binary()).to_pylist(), piece.column(5).cast(pa.binary()).to_pylist(), strict=True):
-            # Mostly a row's text is the one that followed the row before.
-            fp = after_fp if text == after else winnow(text.decode("utf-8", "replace"))
-            changed = winnow(other.decode("utf-8", "replace"))
-            after, after_fp = following, winnow(following.decode("utf-8", "replace"))
-            own.append(fp)
-            edited.append(changed)
-            near_edited.append(likeness(fp[0], changed[0]))
-            near_next.append(likeness(fp[0], after_fp[0]))
-        yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(3)), _lists(own), _lists(edited), pa.array(near_edited, pa.float64()), pa.array(near_next, pa.float64())], names=["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
 def shown(fp: Column) -> Column:
@@ -95,29 +88,43 @@ def shown(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit("@"), x["pos"].cast("string"))), " ")
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _part(cuts: list[int], key: Column) -> Column:
+    """How many of the sorted cuts are not above key: first among every so many of them, then among those between."""
+    if not cuts:
+        return F.lit(0)
+    stride = max(1, round(len(cuts) ** 0.5))
+    count = lambda a: F.size(F.filter(a, lambda c: c <= key))
+    coarse = F.greatest(count(_numbers(cuts[::stride])) - 1, F.lit(0))
+    return coarse * stride + count(F.slice(_numbers(cuts), coarse * stride + 1, F.lit(stride)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text of the next doc_id (after the last: the first); ties follow the text.
+    """doc_id, text, fp and those of the next doc_id as next_text and next_fp (after the last: the first); ties follow the text.
 
     The id range is cut at quantiles, so that each part is sorted alone; only the first document of each part goes on to
-    the part before.
+    the part before. Texts are shuffled without their fingerprints, which are made where the texts arrive.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    parts = min(2000, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = own.select("doc_id").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
-    # The first id of each part, of at most 2000, goes on with its text to the part before.
+    part = _part(sorted(set(cuts or [])), key)
+    # The first id of each part goes on with its text to the part before: as many ids as parts.
     heads = sorted((r["part"], r["id"]) for r in own.select(part.alias("part"), key.alias("id")).groupBy("part").agg(F.min("id").alias("id")).collect())
     dealt = own.select("doc_id", "text", part.alias("part"), F.lit(0).alias("guest"))
     if heads:
-        before = zip([heads[-1], *heads[:-1]], heads, strict=True)
-        table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(b[0]).alias("part"), F.lit(h[1]).alias("id")) for b, h in before])).alias("x")).select("x.*")
+        before, firsts = [p for p, _ in [heads[-1], *heads[:-1]]], [i for _, i in heads]
+        table = spark.range(1).select(F.explode(F.arrays_zip(_numbers(before).alias("part"), _numbers(firsts).alias("id"))).alias("x")).select(F.col("x.part").cast("int").alias("part"), F.col("x.id").alias("id"))
         dealt = dealt.union(own.withColumn("id", key).join(F.broadcast(table), "id").select("doc_id", "text", "part", F.lit(1).alias("guest")))
     order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    led = dealt.withColumn("next_text", F.lead("text").over(order))
-    return led.where("guest = 0").select("doc_id", "text", "next_text")
+    told = dealt.repartition("part").withColumn("fp", winnow(F.col("text")))
+    led = told.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order))
+    return led.where("guest = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -130,9 +137,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     two = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     two = two.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    two = two.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
-    fp = "array<struct<hash: bigint, pos: int>>"
-    return two.mapInArrow(_marked, f"doc_id long, n_chars long, edited_sha256 string, fp {fp}, edited_fp {fp}, near_edited double, near_next double")
+    two = two.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", winnow(F.col("edited")).alias("edited_fp"), "next_fp")
+    near = lambda other: likeness(F.col("fp.hash"), F.col(f"{other}.hash"))
+    return two.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", near("edited_fp").alias("near_edited"), near("next_fp").alias("near_next"))
 
 
 def fingerprint_digests(docs: DataFrame) -> DataFrame:

@@ -383,29 +383,40 @@ def test_html_repeated_text_is_the_templates(spark):
     assert [got[40 + i] for i in range(6)] == [whole(0), whole(1), *[f"Alone {i}." for i in range(2, 6)]]
 
 
-@pytest.mark.parametrize("step", [7, 1_000_000])
-def test_winnow_against_brute_force(monkeypatch, step):
-    monkeypatch.setattr(fingerprints, "STEP", step)
-    import numpy as np
-
-    from sylvaframe.llm import common
+@pytest.mark.parametrize("k,w,step", [(4, 5, 7), (4, 5, 4092), (10, 25, 33), (10, 25, 4072), (3, 2, 5)])
+def test_winnow_against_brute_force(spark, monkeypatch, k, w, step):
+    """Chosen hashes and their places against a search of every window; hashes worked out anew with the xxhash library."""
+    import xxhash
+
+    for name, value in (("K", k), ("W", w), ("STEP", step)):
+        monkeypatch.setattr(fingerprints, name, value)
+
+    def hashed(*values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+        return seed
+
+    def gram(x):
+        if len(x) < k:
+            return hashed(x)
+        row, width = list(x), 1
+        while width < k:
+            step = min(width, k - width)
+            row = [hashed(a, b) for a, b in zip(row, row[step:])]
+            width += step
+        return row[0]
 
     rnd = random.Random(10)
-    k, w = 4, 5
-    for _ in range(300):
-        text = "".join(rnd.choice("ab中 　\xa0\n😀") for _ in range(rnd.randint(0, 60)))
-        at = [i for i, c in enumerate(text) if not c.isspace() or (i and not text[i - 1].isspace())]
-        while at and text[at[0]].isspace():
-            at = at[1:]
-        if at and text[at[-1]].isspace():
-            at = at[:-1]
-        flat = " ".join(text.split())
+    texts = ["".join(rnd.choice("ab中 \u3000\xa0\n\x1c😀") for _ in range(rnd.randint(0, 90))) for _ in range(200)] + ["", "a", "ab" * 2500, "x" * 9000, "".join(rnd.choice("ab中😀 ") for _ in range(9000))]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", fingerprints.winnow(F.col("text")).alias("fp")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        flat = " ".join(texts[r.i].split())
         size = min(k, len(flat))
-        gram = lambda x: int(common.grams(common.mix(np.array(list(map(ord, x)), common.U)), size)[0]) >> 32  # noqa: B023, E731
-        told = [gram(flat[i : i + size]) for i in range(len(flat) - size + 1)] if flat else []
+        signed = lambda h: (h - (1 << 64) if h >> 63 else h) >> 12
+        told = [signed(gram(flat[i : i + size])) for i in range(len(flat) - size + 1)] if flat else []
         chosen = sorted({min(range(s, min(s + w, len(told))), key=lambda i: (told[i], -i)) for s in range(max(1, len(told) - w + 1))}) if told else []
-        hashes, places = fingerprints.winnow(text, k, w)
-        assert (hashes.tolist(), places.tolist()) == ([told[i] for i in chosen], [at[i] for i in chosen])
+        assert [(x.hash, x.pos) for x in r.fp] == [(told[i], i) for i in chosen]
 
 
 def test_fingerprints_of_text_without_spaces_and_with_typos(spark):
