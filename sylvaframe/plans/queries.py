@@ -186,13 +186,7 @@ def _(s, d):
     return rounded(calibration.errors(evaluated(s, d)))
 
 
-@query("jn01_inner_paired", f"{E} SELECT a.parcel_id, round(a.p - b.p2, 9) AS diff FROM e a JOIN e b USING (parcel_id) WHERE a.fold = 1")
-def _(s, d):
-    e = evaluated(s, d)
-    return rounded(e.where("fold = 1").select("parcel_id", "p").join(e.select("parcel_id", "p2"), "parcel_id").select("parcel_id", (F.col("p") - F.col("p2")).alias("diff")))
-
-
-@query("jn01_inner_paired_whole", f"{E} SELECT a.parcel_id, round(a.p - b.p2, 9) AS diff FROM e a JOIN e b USING (parcel_id)")
+@query("jn01_inner_paired", f"{E} SELECT a.parcel_id, round(a.p - b.p2, 9) AS diff FROM e a JOIN e b USING (parcel_id)")
 def _(s, d):
     e = evaluated(s, d)
     return rounded(e.select("parcel_id", "p").join(e.select("parcel_id", "p2"), "parcel_id").select("parcel_id", (F.col("p") - F.col("p2")).alias("diff")))
@@ -258,13 +252,7 @@ def _(s, d):
     return rounded(resampling.two_sided_p(evaluated(s, d).select("stratum", (F.col("p") - F.col("p2")).alias("v")), "v", ["stratum"]))
 
 
-@query("rs05_holm", "WITH x AS (SELECT p_brand, p_partkey, p_size / 500 AS p FROM part WHERE p_partkey <= 200), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS m FROM x) SELECT p_partkey, round(least(1, max((m - r + 1) * p) OVER (PARTITION BY p_brand ORDER BY p, p_partkey)), 9) AS p_holm FROM r")
-def _(s, d):
-    own = table(s, d, "part").where("p_partkey <= 200").select("p_brand", "p_partkey", (F.col("p_size") / 500).alias("p"))
-    return rounded(resampling.holm(own, "p", ["p_brand"], "p_partkey").select("p_partkey", "p_holm"))
-
-
-@query("rs05_holm_whole", "WITH x AS (SELECT p_brand, p_partkey, p_size / 500 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS m FROM x) SELECT p_partkey, round(least(1, max((m - r + 1) * p) OVER (PARTITION BY p_brand ORDER BY p, p_partkey)), 9) AS p_holm FROM r")
+@query("rs05_holm", "WITH x AS (SELECT p_brand, p_partkey, p_size / 500 AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS m FROM x) SELECT p_partkey, round(least(1, max((m - r + 1) * p) OVER (PARTITION BY p_brand ORDER BY p, p_partkey)), 9) AS p_holm FROM r")
 def _(s, d):
     own = table(s, d, "part").select("p_brand", "p_partkey", (F.col("p_size") / 500).alias("p"))
     return rounded(resampling.holm(own, "p", ["p_brand"], "p_partkey").select("p_partkey", "p_holm"))

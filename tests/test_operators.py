@@ -85,7 +85,7 @@ def test_oracle(spark, name):
     assert all(_same(x, y) for a, b in zip(got, expected, strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name,table,key,own", [("rs05_holm_whole", "part", "p_partkey", "p_partkey"), ("jn01_inner_paired_whole", "orders", "parcel_id", "o_orderkey")])
+@pytest.mark.parametrize("name,table,key,own", [("rs05_holm", "part", "p_partkey", "p_partkey"), ("jn01_inner_paired", "orders", "parcel_id", "o_orderkey")])
 def test_whole_tables(spark, name, table, key, own):
     sf = "/root/testdata/sf0.01"
     got = sorted(r[key] for r in QUERIES[name](spark, sf).collect())
