@@ -2,8 +2,8 @@
 
 Hashes of K code points in a row; of each W in a row the smallest is chosen, the rightmost of equal ones, with its
 position. Texts that share K + W - 1 code points in a row share a chosen hash. Runs of white space count as one space, and
-none at the ends; positions count code points of the text so spaced, from 0. Hashes roll by doubling: those of 2, 4 and 8
-code points are made of two of half the length, and that of K of two of 8. They have 52 bits.
+none at the ends; positions count code points of the text so spaced, from 0. Hashes roll: those of 5 code points
+in a row are made first, and each of K = 10 of two of them. They have 52 bits.
 """
 
 from __future__ import annotations
@@ -29,16 +29,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _doubled(a: Column, width: int, join: Callable[[Column, Column], Column], last: Callable[[Column, Column], Column] = lambda x, i: x) -> Column:
-    """By place, `width` elements in a row joined to one: each time two of the width before, as far apart as is due. `last` gets each and its place."""
+def _rolled(a: Column, width: int, join: Callable[..., Column], last: Callable[[Column, Column], Column] = lambda x, i: x) -> Column:
+    """By place, `width` elements in a row joined to one: five at a time, then five of those. `last` gets each and its place."""
     steps, reach = [], 1
     while reach < width:
-        steps.append(min(reach, width - reach))
-        reach += steps[-1]
+        many = min(5, -(-width // reach))
+        steps.append([min(j * reach, width - reach) for j in range(1, many)])
+        reach = min(many * reach, width)
 
-    def joined(a: Column, rest: list[int]) -> Column:
+    def joined(a: Column, rest: list[list[int]]) -> Column:
         end = last if len(rest) == 1 else lambda x, i: x
-        b = F.transform(a, lambda x, i: end(join(x, F.get(a, i + F.lit(rest[0]))), i))
+        b = F.transform(a, lambda x, i: end(join(x, *[F.get(a, i + F.lit(j)) for j in rest[0]]), i))
         return b if len(rest) == 1 else _let(b, lambda c: joined(c, rest[1:]))
 
     return joined(a, steps)
@@ -54,9 +55,9 @@ def _chosen(piece: Column, number: Column) -> Column:
 
     def marked(codes: Column) -> Column:
         n = F.size(codes)
-        grams = F.slice(_doubled(codes, K, F.xxhash64, _placed), F.lit(1), n - F.lit(K - 1))
+        grams = F.slice(_rolled(codes, K, F.xxhash64, _placed), F.lit(1), n - F.lit(K - 1))
         # A text shorter than a window is one window; of a later piece the piece before has it already.
-        windows = F.slice(_let(grams, lambda g: _doubled(g, W, F.least)), F.lit(1), F.greatest(F.lit(1), n - F.lit(K + W - 2)))
+        windows = F.slice(_let(grams, lambda g: _rolled(g, W, F.least)), F.lit(1), F.greatest(F.lit(1), n - F.lit(K + W - 2)))
         put = lambda x: F.struct(F.shiftright(x, 12).alias("hash"), (F.lit(PLACES - 1) - x.bitwiseAND(F.lit(PLACES - 1).cast("long")) + number.cast("long") * STEP).cast("int").alias("pos"))
         return F.transform(F.array_distinct(windows), put)
 
@@ -66,9 +67,11 @@ def _chosen(piece: Column, number: Column) -> Column:
     return F.when((number > 0) & (n < K + W - 1), none).when(n < K, whole).otherwise(_let(F.split(piece, ""), marked))
 
 
-def winnow(text: Column) -> Column:
-    """array<struct<hash: bigint, pos: int>> of the chosen hashes, by position. Fewer than K code points hash as one; none: empty."""
-    spaced = F.trim(F.regexp_replace(text, _SPACE, " "))
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, _SPACE, " "))
+
+
+def _winnowed(spaced: Column) -> Column:
     # A text is cut in one pass, and worked on piece by piece; each piece reads on into the next.
     cut = lambda t: F.when(F.char_length(t) <= STEP, F.filter(F.array(t), lambda x: x != "")).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0)))
     onward = lambda p: F.transform(p, lambda x, i: _let(F.concat(x, F.coalesce(F.left(F.get(p, i + F.lit(1)), F.lit(K + W - 2)), F.lit(""))), lambda y: _chosen(y, i)))
@@ -76,6 +79,33 @@ def winnow(text: Column) -> Column:
     return _let(spaced, lambda t: _let(cut(t), lambda p: _let(F.flatten(onward(p)), once)))
 
 
+def winnow(text: Column) -> Column:
+    """array<struct<hash: bigint, pos: int>> of the chosen hashes, by position. Fewer than K code points hash as one; none: empty."""
+    return _winnowed(_spaced(text))
+
+
+def winnow_joined(head: Column, tail: Column, head_fp: Column, tail_fp: Column) -> Column:
+    """winnow(head + tail), where texts that begin with head and with tail have been winnowed already to head_fp and tail_fp.
+
+    What a place's windows choose depends on their code points alone. So places whose windows all lie in head, or all in
+    tail, are as they were there; windows about the seam and at the end are worked out anew.
+    """
+    side = K + 2 * W - 3  # code points of all windows that hold a place whose own reach just passes an end
+    reach = K + W - 2
+
+    def both(a: Column, b: Column, gap: Column) -> Column:
+        n, m = F.char_length(a), F.char_length(b)
+        start = n + F.char_length(gap)  # of b in the whole
+        part = lambda fp, low, high, by: F.transform(F.filter(fp, lambda x: (x["pos"] >= low) & (x["pos"] <= high)), lambda x: F.struct(x["hash"].alias("hash"), (x["pos"] + by).cast("int").alias("pos")))
+        seam = part(_winnowed(F.concat(F.right(a, F.lit(side)), gap, F.left(b, F.lit(side)))), F.lit(side - reach), start - n + side + W - 2, n - side)
+        end = part(_winnowed(F.right(b, F.lit(side))), F.lit(side - reach), F.lit(side), start + m - side)
+        pieces = F.concat(part(head_fp, F.lit(0), n - reach - 1, F.lit(0)), seam, part(tail_fp, F.lit(W - 1), m - reach - 1, start), end)
+        return F.when((n >= side) & (m >= side), pieces).otherwise(_winnowed(F.concat(a, gap, b)))
+
+    gap = lambda a, b: F.when((a != "") & (b != "") & F.concat(F.right(head, F.lit(1)), F.left(tail, F.lit(1))).rlike(_SPACE), F.lit(" ")).otherwise(F.lit(""))
+    return _let(_spaced(head), lambda a: _let(_spaced(tail), lambda b: _let(gap(a, b), lambda g: both(a, b, g))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two sets of hashes; 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
@@ -136,8 +166,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     two = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    two = two.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    two = two.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", winnow(F.col("edited")).alias("edited_fp"), "next_fp")
+    two = two.withColumn("head", F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half)).withColumn("tail", F.substring("next_text", F.lit(1), half))
+    edited_fp = winnow_joined(F.col("head"), F.col("tail"), F.col("fp"), F.col("next_fp"))
+    two = two.select("doc_id", "n_chars", F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"), "fp", edited_fp.alias("edited_fp"), "next_fp")
     near = lambda other: likeness(F.col("fp.hash"), F.col(f"{other}.hash"))
     return two.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", near("edited_fp").alias("near_edited"), near("next_fp").alias("near_next"))
 

@@ -401,9 +401,9 @@ def test_winnow_against_brute_force(spark, monkeypatch, k, w, step):
             return hashed(x)
         row, width = list(x), 1
         while width < k:
-            step = min(width, k - width)
-            row = [hashed(a, b) for a, b in zip(row, row[step:])]
-            width += step
+            many = min(5, -(-k // width))
+            row = [hashed(*v) for v in zip(*[row[min(j * width, k - width) :] for j in range(many)])]
+            width = min(many * width, k)
         return row[0]
 
     rnd = random.Random(10)
@@ -419,6 +419,22 @@ def test_winnow_against_brute_force(spark, monkeypatch, k, w, step):
         assert [(x.hash, x.pos) for x in r.fp] == [(told[i], i) for i in chosen]
 
 
+@pytest.mark.parametrize("k,w", [(4, 5), (10, 25)])
+def test_winnow_of_joined_texts(spark, monkeypatch, k, w):
+    """The edited text's fingerprint, made from those of its two sides, is that of the whole edited text."""
+    monkeypatch.setattr(fingerprints, "K", k)
+    monkeypatch.setattr(fingerprints, "W", w)
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ab中\u3000  😀" if n % 3 else "ab") for _ in range(n))
+    sizes = [0, 1, 2, 3, k, w, k + w - 2, k + 2 * w - 3, k + 2 * w - 2, 2 * k + 4 * w, 4 * k + 8 * w, 9000]
+    rows = [(text(rnd.choice(sizes) + rnd.randint(0, 2)), text(rnd.choice(sizes) + rnd.randint(0, 2))) for _ in range(400)]
+    rows = [(a, b, rnd.randint(0, len(a)), rnd.randint(0, len(b))) for a, b in rows] + [(" ", "a" * 300, 1, 200), ("a" * 300, "  ", 300, 2), ("b" * 300 + " ", " " + "a" * 300, 301, 301)]
+    df = spark.createDataFrame([(a[:i], b[:j], a, b) for a, b, i, j in rows], "head string, tail string, a string, b string")
+    df = df.withColumn("fa", fingerprints.winnow(F.col("a"))).withColumn("fb", fingerprints.winnow(F.col("b")))
+    got = df.select(fingerprints.winnow_joined(F.col("head"), F.col("tail"), F.col("fa"), F.col("fb")).alias("x"), fingerprints.winnow(F.concat("head", "tail")).alias("y")).collect()
+    assert len(got) == len(rows) and all(r.x == r.y for r in got)
+
+
 def test_fingerprints_of_text_without_spaces_and_with_typos(spark):
     rnd = random.Random(11)
     han = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(300))
