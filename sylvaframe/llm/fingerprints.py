@@ -21,7 +21,9 @@ PARTS = 6
 PLACES = 4096
 #: Windows that start in one piece; it also holds the code points that the last of them reaches to.
 STEP = PLACES - W + 1
-_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Most white space is single spaces, which stay as they are: only the rest is found and replaced.
+_UNEVEN = rf"{_SPACE}{{2,}}|[{_SPACE}&&[^ ]]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,7 +70,7 @@ def _chosen(piece: Column, number: Column) -> Column:
 
 
 def _spaced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _SPACE, " "))
+    return F.trim(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def _winnowed(spaced: Column) -> Column:
