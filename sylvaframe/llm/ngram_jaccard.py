@@ -36,6 +36,9 @@ SHARE = 85
 BAND = 1.5
 #: Keys that a worker gathers before it looks for equal ones among them.
 CHUNK = 400_000
+#: Shingles for each bucket of keys, and the bits by which keys of a bucket are told apart.
+BUCKET, KEY_BITS = 1_000_000, 40
+LOW = U((1 << KEY_BITS) - 1)
 #: Shingles, in all, of the texts that are verified against one other text in a group.
 GROUP = 200_000
 #: Classes that a worker remembers.
@@ -211,7 +214,7 @@ def set_keys(g: np.ndarray, owner: np.ndarray, n_texts: int, share: int = SHARE,
     return np.concatenate(keys), np.concatenate(whose)
 
 
-def _index(share: int, words: int, hot: np.ndarray):
+def _index(share: int, words: int, hot: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -226,10 +229,10 @@ def _index(share: int, words: int, hot: np.ndarray):
             key, text = set_keys(*shingle_sets(texts, words), len(texts), share, hot)
             parts.append((key, ids[text]))
             if (size := size + len(key)) >= CHUNK:
-                yield _settle(parts)
+                yield _settle(parts, buckets)
                 size = 0
         if parts:
-            yield _settle(parts)
+            yield _settle(parts, buckets)
 
     return run
 
@@ -250,10 +253,42 @@ def hot_shingles(docs: DataFrame, total: int, words: int) -> np.ndarray:
     return np.sort(np.array([r["g"] for r in found.orderBy(F.desc("n"), "g").limit(HOT).collect()], np.int64).view(U))
 
 
-def _settle(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One row for each key and document; `part` is 0 for the key's smallest in this chunk, the others are dealt out apart."""
+def _packed(ids: np.ndarray, low: np.ndarray) -> bytes:
+    """Ids in order as their steps, in as few bytes as the widest takes, and the KEY_BITS low bits of the keys: small, so that little is shuffled."""
+    step = np.diff(ids.view(U), prepend=ids[:1].view(U))
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(step.max()) < 1 << 8 * w)
+    head = np.array([len(ids), width, ids[0]], np.int64).tobytes()
+    return head + low.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes() + step.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the low bits of the keys that _packed was given."""
+    n, width, first = np.frombuffer(blob, np.int64, 3).tolist()
+    wide = KEY_BITS // 8
+    low = np.zeros((n, 8), np.uint8)
+    low[:, :wide] = np.frombuffer(blob, np.uint8, n * wide, 24).reshape(n, wide)
+    step = np.frombuffer(blob, f"<u{width}", n, 24 + n * wide).astype(U)
+    return (np.cumsum(step) + np.array([first]).view(U)).view(np.int64), low.reshape(-1).view(U)
+
+
+def _by_part(part: np.ndarray, *rest: np.ndarray) -> Iterator[tuple]:
+    """Each part's number and its pieces of the columns, in the order of the first of these."""
+    order = np.lexsort((rest[0], part))
+    part, cols = part[order], [x[order] for x in rest]
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        if e > s:
+            yield int(part[s]), *[x[s:e] for x in cols]
+
+
+def _settle(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, rows) of a chunk's keys: below `buckets` a key's smallest document, by key; from there on the others with it, dealt out by document.
+
+    Keys are cut to KEY_BITS bits in a bucket. Two that fall together lead to a candidate more, not to a link.
+    """
     key, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
+    key = key % (U(buckets) << U(KEY_BITS))
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
@@ -261,9 +296,45 @@ def _settle(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     first = ids[new][np.cumsum(new) - 1]
     key, ids, first = key[fresh], ids[fresh], first[fresh]
     follows = first != ids
-    back = np.argsort(order[fresh])  # rows leave in document order: so they compress well
-    key, ids, first, follows = key[back], ids[back], first[back], follows[back]
-    return pa.RecordBatch.from_arrays([signed(key), pa.array(ids), pa.array(first), pa.array(np.where(follows, (mix(ids.view(U)) >> U(1)).view(np.int64) + 1, 0))], names=["key", "doc_id", "first", "part"])
+    head = [(b, _packed(i, k & LOW)) for b, i, k in _by_part((key[~follows] >> U(KEY_BITS)).astype(np.int64), ids[~follows], key[~follows])]
+    dealt_out = buckets + (mix(ids[follows].view(U)) % U(buckets)).astype(np.int64)
+    rest = [(b, np.concatenate((k.view(np.int64), i, f)).tobytes()) for b, i, k, f in _by_part(dealt_out, ids[follows], key[follows], first[follows])]
+    at, rows = zip(*head, *rest, strict=True) if head or rest else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+
+
+def _star(bucket: int, blobs: list[bytes], buckets: int) -> pa.RecordBatch:
+    """Edges from a bucket's documents to the smallest one of their key, or those that _settle has found."""
+    if bucket < buckets:
+        ids, low = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+        key = (low | U(bucket << KEY_BITS)).view(np.int64)
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = ids[new][np.cumsum(new) - 1]
+    else:
+        key, ids, first = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in blobs], axis=1)
+        order = np.lexsort((first, ids, key))
+        key, ids, first = key[order], ids[order], first[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (first[1:] != first[:-1]))) & (first != ids)
+    return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (key, ids, first)], names=["key", "doc_id", "first"])
+
+
+def _stars(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = -1
+        for batch in batches:
+            for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and now != last:
+                    yield _star(last, held, buckets)
+                    held = []
+                last = now
+                held.append(blob)
+        if held:
+            yield _star(last, held, buckets)
+
+    return run
 
 
 def _shingles(text: bytes, size: int = N) -> set:
@@ -469,11 +540,12 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataF
     parts = materialise(parts.select("name", "salt").join(classes, "name"))
     follow = materialise(named.join(parts, ["name", "salt"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
     known = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hot = hot_shingles(known, sets.count(), n)
-    index = known.mapInArrow(_index(share, n, hot), "key long, doc_id long, first long, part long")
+    rows, total = sets.agg(F.count("*"), F.sum("n")).first()
+    hot = hot_shingles(known, rows, n)
     # A chunk's smallest document of a key meets those of the other chunks; the rest were led to it in their chunk.
-    led = index.selectExpr("key", "doc_id", "IF(part = 0, min(doc_id) OVER (PARTITION BY key, part), first) AS first")
-    star = materialise(led.where("first <> doc_id").distinct())
+    buckets = -(-(total or 1) // BUCKET)
+    index = known.mapInArrow(_index(share, n, hot, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    star = materialise(index.mapInArrow(_stars(buckets), "key long, doc_id long, first long"))
     of = lambda c, to: follow.selectExpr(f"doc_id AS {c}", f"rep AS {to}")
     mapped = star.join(of("doc_id", "r"), "doc_id", "left").join(of("first", "q"), "first", "left").selectExpr("key", "coalesce(r, doc_id) AS x", "coalesce(q, first) AS y")
     mapped = materialise(mapped.where("x <> y").selectExpr("key", "least(x, y) AS a", "greatest(x, y) AS b").distinct())

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -560,3 +561,24 @@ def test_oracle(spark, name):
     told = con.execute(queries.ORACLES[name])
     cols = [x[0] for x in told.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(*cols).collect())) == sorted(told.fetchall())
+
+
+@pytest.mark.parametrize("buckets,span", [(1, 50), (7, 1 << 62), (300, 100_000)])
+def test_packed_keys_lead_all_their_documents_to_the_smallest(buckets, span):
+    rnd = np.random.default_rng(buckets)
+    met, docs, size, n = {}, {}, 0, 0
+    for _ in range(3):
+        key, ids = rnd.integers(0, 300, 500).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), rnd.integers(-span, span, 500)
+        for k, i in zip((key % np.uint64(buckets << ngram_jaccard.KEY_BITS)).tolist(), ids.tolist(), strict=True):
+            docs.setdefault(k, set()).add(i)
+        rows = ngram_jaccard._settle([(key[:200], ids[:200]), (key[200:], ids[200:])], buckets)
+        for b, x in zip(rows["bucket"].to_pylist(), rows["rows"].to_pylist(), strict=True):
+            met.setdefault(b, []).append(x)
+            size, n = size + len(x) * (b < buckets), n + (len(ngram_jaccard._unpacked(x)[0]) if b < buckets else 0)
+    edges = [e for b, x in met.items() for e in zip(*[c.to_pylist() for c in ngram_jaccard._star(b, x, buckets).columns], strict=True)]
+    for k, all_of_it in docs.items():
+        reached = {min(all_of_it)}
+        for _ in range(2):
+            reached |= {d for at, d, first in edges if at == k and first in reached}
+        assert reached == all_of_it
+    assert {d for _, d, _ in edges} <= set().union(*docs.values()) and (buckets > 1 or size <= 6 * n + 3 * 24)

@@ -106,3 +106,26 @@ def test_run_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from sylvaframe.llm.common import materialise
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: sum(disk.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(disk.getAllFiles().size()))
+    before, was = count(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert materialise(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    new = count() - before
+    assert new <= 2, new  # of the count of what was written, which is one task's
+
+
+def test_near_copies_go_without_a_shuffle_of_texts(spark):
+    words = lambda i: " ".join(f"a{i}b{j}" for j in range(30))
+    rows = [(1, words(1)), (2, words(1)), (3, words(3)), (3, words(3)), (4, words(4)), (None, words(4)), (None, words(4)), (6, None), (7, words(7)), (7, words(7)), (5, words(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.stage_ngram_jaccard(spark, docs, "")
+    assert Counter(tuple(r)[:2] for r in out.collect()) == Counter([(1, words(1)), (3, words(3)), (4, words(4)), (None, words(4)), (None, words(4)), (6, None), (5, words(7))])
+    # Only repeated ids may be brought together, and so few of them are picked out before their texts move.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
