@@ -1,4 +1,4 @@
-"""Distances in feature space: weighted standardising, nearest neighbours by blocks of matrices, applicability."""
+"""Distances in feature space: weighted standardising, nearest neighbours by cells and boxes, applicability."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Reference rows whose matrix a task holds at a time.
-BLOCK = 65_536
+from sylvaframe.operators import points
+
+#: Reference rows of a cell, and rows of a leaf within it.
+BLOCK, LEAF = 16_384, 64
 
 
 def fitted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,53 +27,144 @@ def scaled(df: DataFrame, columns: list[str], model: DataFrame, weights: list[fl
     return df.crossJoin(F.broadcast(model)).withColumn("x", F.array(*x)).drop("means", "sds")
 
 
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the rows of x in leaves of at most `size`: halves along the widest side, again and again."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        wide = np.ptp(x[at], axis=0).argmax()
+        half = len(at) // 2
+        order = np.argpartition(x[at, wide], half)
+        todo += [at[order[:half]], at[order[half:]]]
+    return out
+
+
+def _least_two(x: np.ndarray, ids: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of references of one place and group, the two with the smallest ids: a query meets itself in one at most."""
+    order = np.lexsort((ids, group, *x.T))
+    same = (x[order][1:] == x[order][:-1]).all(1) & (group[order][1:] == group[order][:-1])
+    return order[np.concatenate(([True, True], ~(same[1:] & same[:-1])))[: len(order)]]
+
+
+def _met(r: np.ndarray, ri: np.ndarray, rg: np.ndarray, q: np.ndarray, qi: np.ndarray, qg: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance and id of each query's nearest reference (inf: none within its bound); a leaf of queries meets leaves by the gap between boxes."""
+    keep = _least_two(r, ri, rg)
+    r, ri, rg = r[keep], ri[keep], rg[keep]
+    best, who = np.where(bound < np.inf, bound * bound * (1 + 1e-9), np.inf), np.full(len(q), np.iinfo(np.int64).max)
+    refs = _leaves(r, LEAF)
+    low, high = np.stack([r[at].min(0) for at in refs]), np.stack([r[at].max(0) for at in refs])
+    for own in _leaves(q, LEAF):
+        gap = (np.maximum(0, np.maximum(low - q[own].max(0), q[own].min(0) - high)) ** 2).sum(1)
+        order = np.argsort(gap, kind="stable")
+        d, w = best[own], who[own]
+        done, step = 0, 2
+        while done < len(order) and gap[order[done]] <= d.max() * (1 + 1e-9):
+            at = np.concatenate([refs[j] for j in order[done : done + step]])
+            at = at[np.argsort(ri[at])]
+            d2 = ((q[own][:, None, :] - r[None, at, :]) ** 2).sum(2)
+            d2[(qi[own][:, None] == ri[None, at]) | ((qg[own][:, None] == rg[None, at]) & (qg[own][:, None] >= 0))] = np.inf
+            b = d2.argmin(1)
+            e, v = d2[np.arange(len(own)), b], ri[at][b]
+            closer = (e < d) | ((e == d) & (e < np.inf) & (v < w))
+            d, w = np.where(closer, e, d), np.where(closer, v, w)
+            done += step
+        best[own], who[own] = d, w
+    return np.where(who == np.iinfo(np.int64).max, np.inf, best), who
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups `chunk`, sorted by chunk with references (role 0) before queries: for each query the least distance and its reference."""
-    ref: list[np.ndarray] = []
-    ids: list[np.ndarray] = []
-    own: list[np.ndarray] = []
+    """Rows cell, part, role, id, g, bound, x, sorted by the first three with references (role 0) before queries: the nearest of each query's cell."""
+    ref: list[tuple] = []
     now = None
     for b in batches:
         if not b.num_rows:
             continue
-        chunk, role, i, g = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        x = b.column(4)
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        cut = [0, *(np.flatnonzero((chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), b.num_rows]
+        cell, part, role, i, g, bound = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        x = _matrix(b.column(6), b.num_rows)
+        cut = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1).tolist(), b.num_rows]
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if chunk[s] != now:
-                now, ref, ids, own = chunk[s], [], [], []
+            if (cell[s], part[s]) != now:
+                now, ref = (cell[s], part[s]), []
             if role[s] == 0:
-                ref.append(x[s:e]), ids.append(i[s:e]), own.append(g[s:e])
+                ref.append((x[s:e], i[s:e], g[s:e]))
                 continue
             if not ref:
                 continue
-            r, ri, rg = np.concatenate(ref), np.concatenate(ids), np.concatenate(own)
-            ref, ids, own = [r], [ri], [rg]
-            order = np.argsort(ri, kind="stable")
-            for at in range(s, e, 512):
-                q, qi, qg = x[at : min(e, at + 512)], i[at : min(e, at + 512)], g[at : min(e, at + 512)]
-                d2 = np.maximum(((q[:, None, :] - r[None, order, :]) ** 2).sum(2) if len(r) * q.shape[1] < 50_000 else (q**2).sum(1)[:, None] + (r[order] ** 2).sum(1)[None] - 2 * q @ r[order].T, 0)
-                d2[(qi[:, None] == ri[None, order]) | ((qg[:, None] == rg[None, order]) & (qg[:, None] >= 0))] = np.inf
-                best = d2.argmin(1)
-                d = np.sqrt(((q - r[order][best]) ** 2).sum(1))
-                ok = np.isfinite(d2[np.arange(len(q)), best])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[ok]), pa.array(ri[order][best][ok]), pa.array(d[ok])], names=["id", "nearest", "distance"])
+            ref = [tuple(np.concatenate(c) for c in zip(*ref, strict=True))]
+            d2, who = _met(*ref[0], x[s:e], i[s:e], g[s:e], bound[s:e])
+            ok = np.isfinite(d2)
+            yield pa.RecordBatch.from_arrays([pa.array(i[s:e][ok]), pa.array(who[ok]), pa.array(np.sqrt(d2[ok]))], names=["id", "nearest", "distance"])
+
+
+def _reached(cuts: np.ndarray, base: np.ndarray, wide: int):
+    """Rows id, g, x, nearest, distance, lo, hi with the cells `from` to `to` that the distance (or, without, twice as many as lo to hi) reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = _matrix(b.column(2), b.num_rows)[:, wide]
+            d = b.column(4).to_numpy(zero_copy_only=False).astype(float)
+            lo, hi = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (5, 6))
+            far = np.where(np.isnan(d), 0, d * (1 + 1e-9))
+            low, high = base[np.searchsorted(cuts, v - far, "right")], base[np.searchsorted(cuts, v + far, "right") + 1] - 1
+            more = np.where(np.isnan(d) & (hi >= lo), hi - lo + 1, 0)
+            low, high = np.minimum(low, np.where(hi >= lo, lo - more, low)), np.maximum(high, np.where(hi >= lo, hi + more, high))
+            ends = [pa.array(x.astype(np.int32)) for x in (np.maximum(low, 0), np.minimum(high, base[-1] - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *ends], names=[*b.schema.names, "from", "to"])
+
+    return run
 
 
 def nearest(queries: DataFrame, reference: DataFrame, apart: str | None = None) -> DataFrame:
     """(id, nearest, distance): the nearest reference of each query in `x`, by Euclid, ties to the smallest id; never itself.
 
-    apart: a column of whole numbers from 0; references of a query's own group don't count. References are dealt into chunks of BLOCK rows; each
-    chunk meets all queries in blocks of a matrix product, and the least per query is taken by a partial aggregation.
+    apart: a column of whole numbers from 0; references of a query's own group don't count. References are cut at quantiles of the column
+    that varies most into cells of about BLOCK rows (several of them for one value that so many share). A query meets its own cell, then
+    those within the distance that it has found, or twice as many cells if it has found none; so the result is exact. References with a
+    null or NaN in x don't count; such queries have null nearest and distance.
     """
-    chunks = max(1, -(-reference.count() // BLOCK))
     group = F.col(apart).cast("long") if apart else F.lit(-1).cast("long")
-    r = reference.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("role"), F.col("id").cast("long").alias("id"), group.alias("g"), "x")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("role"), F.col("id").cast("long").alias("id"), group.alias("g"), "x")
-    both = r.union(q).repartition("chunk").sortWithinPartitions("chunk", "role")
-    found = both.mapInArrow(_nearest, "id long, nearest long, distance double")
-    return found.groupBy("id").agg(F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest"), F.min("distance").alias("distance"))
+    cols = lambda df: df.select(F.col("id").cast("long").alias("id"), group.alias("g"), "x")
+    lacks = F.coalesce(F.exists("x", lambda c: c.isNull() | F.isnan(c)), F.lit(True))
+    r, q = cols(reference).where(~lacks), cols(queries)
+    lost, q = q.where(lacks), q.where(~lacks)
+    none = lambda df: df.select("id", F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
+    sides, n_refs = r.agg(F.max(F.size("x")), F.count("*")).first()
+    if not n_refs:
+        return none(lost).distinct()
+    spread = r.agg(*[F.var_pop(F.get("x", F.lit(i))).alias(f"v{i}") for i in range(sides)]).first()
+    wide, pieces = int(np.argmax([v or 0 for v in spread])), -(-n_refs // BLOCK)
+    found = r.agg(F.percentile_approx(F.get("x", F.lit(wide)), [i / pieces for i in range(1, pieces)], 100 * pieces).alias("c")).first()[0] if pieces > 1 else []
+    cuts, times = np.unique(np.array(found, float), return_counts=True)
+    # The part from a cut on holds as many cells as there are cuts of that value.
+    base = np.concatenate(([0, 1], 1 + np.cumsum(times))).astype(np.int64)
+    parts = max(1, -(-q.count() // (len(found) + 1) // (4 * BLOCK)))
+    state = q.selectExpr("id", "g", "x", "cast(NULL AS long) AS nearest", "cast(NULL AS double) AS distance", "0 AS lo", "-1 AS hi")
+    form = "id long, g long, x array<double>, nearest long, distance double, lo int, hi int"
+    reach = lambda df: df.mapInArrow(_reached(cuts, base, wide), form + ", from int, to int")
+    own = reach(r.selectExpr("id", "g", "x", "id AS nearest", "cast(0 AS double) AS distance", "0 AS lo", "-1 AS hi"))
+    own = own.selectExpr("cast(`from` + pmod(xxhash64(id), `to` - `from` + 1) AS int) AS cell", f"explode(sequence(0, {parts - 1})) AS part", "0 AS role", "id", "g", "cast(0 AS double) AS bound", "x")
+    own = points._shared(own)
+    while True:
+        todo = points._shared(reach(state))
+        new = "`from` < lo OR `to` > hi OR hi < lo"
+        if not todo.where(new).limit(1).count():
+            out = todo.where("distance IS NOT NULL").groupBy("id").agg(F.min_by("nearest", F.struct("distance", "nearest")).alias("nearest"), F.min("distance").alias("distance"))
+            return out.unionByName(none(lost).join(out.select("id"), "id", "left_anti").distinct())
+        go = todo.where(new).selectExpr("explode(filter(sequence(`from`, `to`), c -> c < lo OR c > hi OR hi < lo)) AS cell", f"cast(pmod(xxhash64(id), {parts}) AS int) AS part", "1 AS role", "id", "g", "coalesce(distance, double('Infinity')) AS bound", "x")
+        # Only cells that queries go to are worked on.
+        both = own.join(F.broadcast(go.select("cell").distinct()), "cell", "left_semi").select(go.columns).union(go).repartition("cell", "part").sortWithinPartitions("cell", "part", "role")
+        met = both.mapInArrow(_nearest, "id long, nearest long, distance double").groupBy("id").agg(F.min(F.struct("distance", "nearest")).alias("m"))
+        best = F.when(F.col("distance").isNull(), F.col("m")).otherwise(F.least(F.struct("distance", "nearest"), F.coalesce("m", F.struct("distance", "nearest"))))
+        state = todo.join(met, "id", "left").withColumn("b", best).selectExpr("id", "g", "x", "b.nearest AS nearest", "b.distance AS distance", "`from` AS lo", "`to` AS hi")
 
 
 def mean_distance(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.operators import calibration, models, partition, points
+from sylvaframe.operators import calibration, featurespace, models, partition, points
 
 
 def test_cuts_against_all_cuts():
@@ -61,3 +61,20 @@ def test_calibrators_and_trees(spark):
     assert all((r.p > 0.5) == (r.y == 1) for r in models.parcel_scores(tree.scored(test)).collect() if abs(r.parcel_id - 30.5) > 1)
     settings, cut = models.search(pixels, ["a", "b"], 0, [0, 1, 2], [{"maxIter": 1, "maxDepth": 1}], 4, F.col("b"))
     assert settings["maxIter"] == 1 and 0 < cut < 1
+
+
+@pytest.mark.parametrize("block,groups", [(1 << 14, 3), (40, 3), (40, None), (7, 2)])
+def test_nearest_over_cells_against_brute_force(spark, monkeypatch, block, groups):
+    monkeypatch.setattr(featurespace, "BLOCK", block)
+    monkeypatch.setattr(featurespace, "LEAF", 5)
+    rnd = np.random.default_rng(block)
+    x = np.round(rnd.normal(size=(300, 2)) * [24, 8]) / 8
+    x[:60] = [0.5, 0.5]  # more than a cell's of one place
+    group = (x[:, 0] > 1).astype(int) if groups == 2 else rnd.integers(0, 3, 300)  # groups that lie apart: cells without others
+    rows = [(i, int(group[i]), x[i].tolist()) for i in range(300)] + [(300, 1, [None, 1.0])]
+    got = {r.id: (r.nearest, r.distance) for r in featurespace.nearest(*[spark.createDataFrame(rows, "id long, g long, x array<double>")] * 2, "g" if groups else None).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[np.eye(300, dtype=bool) | ((group[:, None] == group[None]) & bool(groups))] = np.inf
+    assert got.pop(300) == (None, None) and set(got) == set(range(300))
+    for i, (near, distance) in got.items():
+        assert near == d[i].argmin() and distance == pytest.approx(d[i].min(), abs=1e-12)
