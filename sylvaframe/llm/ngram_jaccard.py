@@ -47,9 +47,9 @@ SEEN = 200_000
 VERIFY = 30.0
 #: Sets with a greater weight than E of pieces without members are dealt again by another hash, TRIES times in all.
 TRIES = 4
-#: Shingles that HOT_DOCS of about HOT_SAMPLE documents have, at most HOT of them, are left out of the first try. Which
-#: ones these are changes the cost only: two sets differ no more without them than with them.
-HOT_SAMPLE, HOT_DOCS, HOT = 20_000, 3, 100_000
+#: Shingles that HOT_DOCS of each HOT_OF documents have, of all counted, at most HOT of them, are left out of the first try.
+#: Which ones these are changes the cost only: two sets differ no more without them than with them.
+HOT_OF, HOT_DOCS, HOT = 20_000, 3, 100_000
 #: Such a part of a set is reckoned to be other shingles.
 OTHER = 1.0
 #: Documents of a key that are held against as many others in one group.
@@ -159,7 +159,7 @@ def _sizes(words: int):
     return run
 
 
-def set_keys(g: np.ndarray, owner: np.ndarray, n_texts: int, share: int = SHARE, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(g: np.ndarray, owner: np.ndarray, n_texts: int, share: int = SHARE, hot: np.ndarray | None = None, buckets: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sets and the text of each key."""
     n = np.bincount(owner, minlength=n_texts)
     keys, whose = [], []
@@ -168,7 +168,8 @@ def set_keys(g: np.ndarray, owner: np.ndarray, n_texts: int, share: int = SHARE,
     band = np.searchsorted(ends, n, side="right")
     rare = np.ones(len(g), bool)
     if hot is not None and len(hot):
-        rare = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] != g
+        low = g % span(buckets)
+        rare = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] != low
     # A set meets larger ones in its own band or the next, as no band is narrower than the sizes that can link.
     for step in (0, 1):
         k = np.minimum(band + step, len(plan))
@@ -226,7 +227,7 @@ def _index(share: int, words: int, hot: np.ndarray, buckets: int):
                 seen.clear()
             fresh = [i for i, t in enumerate(texts) if seen.setdefault(hashlib.sha256(_folded(t)).digest(), int(ids[i])) == int(ids[i])]
             texts, ids = [texts[i] for i in fresh], ids[fresh]
-            key, text = set_keys(*shingle_sets(texts, words), len(texts), share, hot)
+            key, text = set_keys(*shingle_sets(texts, words), len(texts), share, hot, buckets)
             parts.append((key, ids[text]))
             if (size := size + len(key)) >= CHUNK:
                 yield _settle(parts, buckets)
@@ -237,19 +238,52 @@ def _index(share: int, words: int, hot: np.ndarray, buckets: int):
     return run
 
 
-def _members(words: int):
+def _members(words: int, buckets: int):
+    """Rows (bucket, rows) of how many of a chunk's documents each shingle is in, by the low bits of the shingles."""
+
+    def told(parts: list[np.ndarray]) -> pa.RecordBatch:
+        g, n = np.unique(np.concatenate(parts), return_counts=True)
+        rows = [(b, _packed(k, x & LOW)) for b, k, x in _by_part((g >> U(KEY_BITS)).astype(np.int64), n, g)]
+        at, packed = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
         for _, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([signed(shingle_sets(texts, words)[0])], names=["g"])
+            parts.append(shingle_sets(texts, words)[0] % span(buckets))
+            if sum(map(len, parts)) >= CHUNK:
+                yield told(parts)
+                parts = []
+        if parts:
+            yield told(parts)
+
+    return run
+
+
+def _totals(least: int):
+    """(g, n): the shingles that at least so many documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _held(batches):
+            n, low = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+            order = np.argsort(low, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], low[order][1:] != low[order][:-1])))
+            total, g = np.add.reduceat(n[order], first), low[order][first] | U(bucket << KEY_BITS)
+            yield pa.RecordBatch.from_arrays([signed(g[total >= least]), pa.array(total[total >= least])], names=["g", "n"])
 
     return run
 
 
-def hot_shingles(docs: DataFrame, total: int, words: int) -> np.ndarray:
-    """Hashes of common shingles, in order: a bounded list from a bounded sample."""
-    part = min(1.0, HOT_SAMPLE / max(1, total))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
-    found = some.mapInArrow(_members(words), "g long").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_DOCS)
+def span(buckets: int) -> U:
+    """How many keys or shingles the buckets tell apart."""
+    return U(buckets) << U(KEY_BITS)
+
+
+def hot_shingles(docs: DataFrame, total: int, words: int, buckets: int) -> np.ndarray:
+    """Common shingles modulo span(buckets), in order: those of all documents are counted, and the HOT commonest are taken."""
+    least = max(HOT_DOCS, -(-total * HOT_DOCS // HOT_OF))
+    own = docs.mapInArrow(_members(words, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = materialise(own.mapInArrow(_totals(least), "g long, n long"))
     return np.sort(np.array([r["g"] for r in found.orderBy(F.desc("n"), "g").limit(HOT).collect()], np.int64).view(U))
 
 
@@ -288,7 +322,7 @@ def _settle(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Reco
     """
     key, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
-    key = key % (U(buckets) << U(KEY_BITS))
+    key = key % span(buckets)
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
@@ -320,19 +354,25 @@ def _star(bucket: int, blobs: list[bytes], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (key, ids, first)], names=["key", "doc_id", "first"])
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each bucket and its rows, of batches (bucket, rows) sorted by bucket."""
+    held: list[bytes] = []
+    last = -1
+    for batch in batches:
+        for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and now != last:
+                yield last, held
+                held = []
+            last = now
+            held.append(blob)
+    if held:
+        yield last, held
+
+
 def _stars(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        last = -1
-        for batch in batches:
-            for now, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and now != last:
-                    yield _star(last, held, buckets)
-                    held = []
-                last = now
-                held.append(blob)
-        if held:
-            yield _star(last, held, buckets)
+        for bucket, blobs in _held(batches):
+            yield _star(bucket, blobs, buckets)
 
     return run
 
@@ -541,9 +581,9 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataF
     follow = materialise(named.join(parts, ["name", "salt"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
     known = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows, total = sets.agg(F.count("*"), F.sum("n")).first()
-    hot = hot_shingles(known, rows, n)
+    buckets = max(1, -(-(total or 0) // BUCKET))
+    hot = hot_shingles(known, rows, n, buckets)
     # A chunk's smallest document of a key meets those of the other chunks; the rest were led to it in their chunk.
-    buckets = -(-(total or 1) // BUCKET)
     index = known.mapInArrow(_index(share, n, hot, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
     star = materialise(index.mapInArrow(_stars(buckets), "key long, doc_id long, first long"))
     of = lambda c, to: follow.selectExpr(f"doc_id AS {c}", f"rep AS {to}")

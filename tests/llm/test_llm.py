@@ -582,3 +582,16 @@ def test_packed_keys_lead_all_their_documents_to_the_smallest(buckets, span):
             reached |= {d for at, d, first in edges if at == k and first in reached}
         assert reached == all_of_it
     assert {d for _, d, _ in edges} <= set().union(*docs.values()) and (buckets > 1 or size <= 6 * n + 3 * 24)
+
+
+def test_common_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "HOT_OF", 20)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 300)
+    texts = [f"x{i} y{i} z{i} u{i} " + " ".join(["a b c d"] * (i % 6 == 0) + [f"q{i}", "e f g h"] * (i % 8 == 0)) for i in range(200)]
+    counts = {}
+    for t in texts:
+        for g in ngram_jaccard.shingle_sets([t.encode()])[0].tolist():
+            counts[g % (3 << ngram_jaccard.KEY_BITS)] = counts.get(g % (3 << ngram_jaccard.KEY_BITS), 0) + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = ngram_jaccard.hot_shingles(docs, len(texts), 4, 3).tolist()
+    assert got == sorted(g for g, n in counts.items() if n >= 30) and len(got) == 1  # "a b c d" is in 34 of 200, "e f g h" in 25
