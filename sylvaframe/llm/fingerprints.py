@@ -21,9 +21,15 @@ PARTS = 6
 PLACES = 4096
 #: Windows that start in one piece; it also holds the code points that the last of them reaches to.
 STEP = PLACES - W + 1
+#: Windows that start in one row, where `winnowed` has a column for each code point.
+BLOCK = 96
+#: Above all hashes with a place.
+NOWHERE = (1 << 63) - 1
 _SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Code points that aren't white space, by few ranges: most text is found to be such, or a single space before such, at once.
+_PLAIN = r"[!-~\xa1-\u167f\u1681-\u1fff\u3001-\x{10ffff}]"
 #: Most white space is single spaces, which stay as they are: only the rest is found and replaced.
-_UNEVEN = rf"{_SPACE}{{2,}}|[{_SPACE}&&[^ ]]"
+_UNEVEN = rf"(?!{_PLAIN}| {_PLAIN})(?:{_SPACE}{{2,}}|[{_SPACE}&&[^ ]])"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,20 +37,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rolled(a: Column, width: int, join: Callable[..., Column], last: Callable[[Column, Column], Column] = lambda x, i: x) -> Column:
-    """By place, `width` elements in a row joined to one: five at a time, then five of those. `last` gets each and its place."""
+def _steps(width: int) -> list[list[int]]:
+    """How `width` elements in a row are joined to one, five at a time, then five of those: by step, how far on the others are."""
     steps, reach = [], 1
     while reach < width:
         many = min(5, -(-width // reach))
         steps.append([min(j * reach, width - reach) for j in range(1, many)])
         reach = min(many * reach, width)
+    return steps
+
+
+def _rolled(a: Column, width: int, join: Callable[..., Column], last: Callable[[Column, Column], Column] = lambda x, i: x) -> Column:
+    """By place, `width` elements in a row joined to one, by steps. `last` gets each and its place."""
 
     def joined(a: Column, rest: list[list[int]]) -> Column:
         end = last if len(rest) == 1 else lambda x, i: x
         b = F.transform(a, lambda x, i: end(join(x, *[F.get(a, i + F.lit(j)) for j in rest[0]]), i))
         return b if len(rest) == 1 else _let(b, lambda c: joined(c, rest[1:]))
 
-    return joined(a, steps)
+    return joined(a, _steps(width))
 
 
 def _placed(x: Column, i: Column) -> Column:
@@ -73,12 +84,15 @@ def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _UNEVEN, " "))
 
 
+def _once(a: Column) -> Column:
+    return F.filter(a, lambda x, i: (i == 0) | (x["pos"] != F.get(a, i - F.lit(1))["pos"]))
+
+
 def _winnowed(spaced: Column) -> Column:
     # A text is cut in one pass, and worked on piece by piece; each piece reads on into the next.
     cut = lambda t: F.when(F.char_length(t) <= STEP, F.filter(F.array(t), lambda x: x != "")).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0)))
     onward = lambda p: F.transform(p, lambda x, i: _let(F.concat(x, F.coalesce(F.left(F.get(p, i + F.lit(1)), F.lit(K + W - 2)), F.lit(""))), lambda y: _chosen(y, i)))
-    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x["pos"] != F.get(a, i - F.lit(1))["pos"]))
-    return _let(spaced, lambda t: _let(cut(t), lambda p: _let(F.flatten(onward(p)), once)))
+    return _let(spaced, lambda t: _let(cut(t), lambda p: _let(F.flatten(onward(p)), _once)))
 
 
 def winnow(text: Column) -> Column:
@@ -86,6 +100,46 @@ def winnow(text: Column) -> Column:
     return _winnowed(_spaced(text))
 
 
+def winnowed(docs: DataFrame, text: str, near: str) -> DataFrame:
+    """docs with winnow(text) as fp. Texts aren't null; the rows of docs are dealt by the column `near`, and stay where they are.
+
+    A text is cut into rows, each of BLOCK windows' starts and what these windows reach to. There every code point, hash
+    and window has a column, which Spark compiles; over arrays it would interpret them.
+    """
+    keys = [c for c in docs.columns if c != text]
+    size = BLOCK + K + W - 2
+    spaced = _spaced(F.col(text))
+    # The text itself goes first, as block 0, so that it doesn't go with every block.
+    cut = F.concat(F.array(F.col(text)), F.regexp_extract_all(spaced, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{BLOCK}}}"), F.lit(1)))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).select(*keys, "_row", F.posexplode(cut).alias("_block", "_piece"))
+    kept = [*keys, "_row", "_block", "_text", "_n", "_short"]
+    piece, block, n = F.coalesce("_piece", F.lit("")), F.col("_block"), F.col("_n")
+    many = round(size**0.5)
+    parts = [F.substring(piece, j + 1, many).alias(f"_p{j // many}") for j in range(0, size, many)]
+    rows = rows.select(*keys, "_row", "_block", F.when(block == 0, piece).alias("_text"), F.when(block == 0, 0).otherwise(F.char_length(piece)).alias("_n"), _placed(F.xxhash64(piece), F.lit(1)).alias("_short"), *parts)
+
+    def stepped(rows: DataFrame, to: str, values: list[Column]) -> DataFrame:
+        return rows.select(*kept, *[x.alias(f"{to}{j}") for j, x in enumerate(values)])
+
+    rows, at, left = stepped(rows, "_c", [F.substring(f"_p{j // many}", j % many + 1, 1) for j in range(size)]), "_c", size
+    for width, join in ((K, F.xxhash64), (W, F.least)):
+        for k, step in enumerate(_steps(width)):
+            left -= step[-1]
+            values = [join(*[F.col(f"{at}{j + i}") for i in (0, *step)]) for j in range(left)]
+            if join is F.xxhash64 and k == len(_steps(width)) - 1:
+                values = [F.when(n >= j + K, _placed(x, F.lit(j + 1))).otherwise(F.lit(NOWHERE)) for j, x in enumerate(values)]
+            rows, at = stepped(rows, f"_{join.__name__}{k}_", values), f"_{join.__name__}{k}_"
+    # A text shorter than a window is one window; of a later block the block before has it already.
+    told = [F.when((n >= K + W - 1) | (block == 1), F.col(f"{at}0")).otherwise(F.lit(NOWHERE))]
+    told += [F.when((n >= j + K + W - 1) & (F.col(f"{at}{j}") != F.col(f"{at}{j - 1}")), F.col(f"{at}{j}")).otherwise(F.lit(NOWHERE)) for j in range(1, BLOCK)]
+    chosen = F.when((block == 1) & (n < K), F.array("_short")).otherwise(F.array_remove(F.array(*told), F.lit(NOWHERE)))
+    rows = rows.select(*keys, "_row", "_text", F.when(block > 0, F.struct("_block", chosen.alias("chosen"))).alias("_chosen"))
+    whole = rows.groupBy(near, *[k for k in keys if k != near], "_row").agg(F.first("_text", ignorenulls=True).alias(text), F.sort_array(F.collect_list("_chosen")).alias("_chosen"))
+    last = F.lit(PLACES - 1).cast("long")
+    put = lambda b: F.transform(b["chosen"], lambda x: F.struct(F.shiftright(x, 12).alias("hash"), (F.lit(PLACES - 2) - x.bitwiseAND(last) + (b["_block"] - 1).cast("long") * BLOCK).cast("int").alias("pos")))
+    return whole.select(*docs.columns, _let(F.flatten(F.transform("_chosen", put)), _once).alias("fp"))
+
+
 def winnow_joined(head: Column, tail: Column, head_fp: Column, tail_fp: Column) -> Column:
     """winnow(head + tail), where texts that begin with head and with tail have been winnowed already to head_fp and tail_fp.
 
@@ -98,11 +152,15 @@ def winnow_joined(head: Column, tail: Column, head_fp: Column, tail_fp: Column)
     def both(a: Column, b: Column, gap: Column) -> Column:
         n, m = F.char_length(a), F.char_length(b)
         start = n + F.char_length(gap)  # of b in the whole
+        before = n - F.least(n, F.lit(side))  # of the code points about the seam
         part = lambda fp, low, high, by: F.transform(F.filter(fp, lambda x: (x["pos"] >= low) & (x["pos"] <= high)), lambda x: F.struct(x["hash"].alias("hash"), (x["pos"] + by).cast("int").alias("pos")))
-        seam = part(_winnowed(F.concat(F.right(a, F.lit(side)), gap, F.left(b, F.lit(side)))), F.lit(side - reach), start - n + side + W - 2, n - side)
+        # A side too short to have windows of its own is worked out anew as a whole.
+        seam = part(_winnowed(F.concat(F.right(a, F.lit(side)), gap, F.left(b, F.lit(side)))), F.when(n < side, 0).otherwise(side - reach), F.when(m < side, 2 * side + 1).otherwise(start - before + W - 2), before)
         end = part(_winnowed(F.right(b, F.lit(side))), F.lit(side - reach), F.lit(side), start + m - side)
-        pieces = F.concat(part(head_fp, F.lit(0), n - reach - 1, F.lit(0)), seam, part(tail_fp, F.lit(W - 1), m - reach - 1, start), end)
-        return F.when((n >= side) & (m >= side), pieces).otherwise(_winnowed(F.concat(a, gap, b)))
+        first = part(head_fp, F.lit(0), n - reach - 1, F.lit(0))
+        last = F.concat(part(tail_fp, F.lit(W - 1), m - reach - 1, start), end)
+        none = F.filter(head_fp, lambda x: F.lit(False))
+        return F.concat(F.when(n < side, none).otherwise(first), seam, F.when(m < side, none).otherwise(last))
 
     gap = lambda a, b: F.when((a != "") & (b != "") & F.concat(F.right(head, F.lit(1)), F.left(tail, F.lit(1))).rlike(_SPACE), F.lit(" ")).otherwise(F.lit(""))
     return _let(_spaced(head), lambda a: _let(_spaced(tail), lambda b: _let(gap(a, b), lambda g: both(a, b, g))))
@@ -154,7 +212,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         table = spark.range(1).select(F.explode(F.arrays_zip(_numbers(before).alias("part"), _numbers(firsts).alias("id"))).alias("x")).select(F.col("x.part").cast("int").alias("part"), F.col("x.id").alias("id"))
         dealt = dealt.union(own.withColumn("id", key).join(F.broadcast(table), "id").select("doc_id", "text", "part", F.lit(1).alias("guest")))
     order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    told = dealt.repartition("part").withColumn("fp", winnow(F.col("text")))
+    told = winnowed(dealt.repartition("part"), "text", "part")
     led = told.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order))
     return led.where("guest = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 

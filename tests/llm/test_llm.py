@@ -436,6 +436,36 @@ def test_winnow_of_joined_texts(spark, monkeypatch, k, w):
     assert len(got) == len(rows) and all(r.x == r.y for r in got)
 
 
+@pytest.mark.parametrize("k,w,block", [(4, 5, 1), (4, 5, 7), (3, 2, 5), (10, 25, 3), (10, 25, 96)])
+def test_winnowed_rows(spark, monkeypatch, k, w, block):
+    """Texts winnowed as rows of blocks have the fingerprints that winnow gives; each row of the table stays, with its columns."""
+    for name, value in (("K", k), ("W", w), ("BLOCK", block)):
+        monkeypatch.setattr(fingerprints, name, value)
+    rnd = random.Random(13)
+    text = lambda n: "".join(rnd.choice("ab中 \u3000\xa0\n\x1c😀" if n % 2 else "ab") for _ in range(n))
+    sizes = [*range(12), k + w - 2, k + w - 1, k + w, block + k + w - 2, block + k + w - 1, block + k + w, 2 * block, 2 * block + k]
+    texts = [text(n) for n in sizes for _ in range(4)] + ["", " ", " \n", "ab" * 700, "x" * 700, text(5001), "same", "same"]
+    rows = [(i if i % 50 else None, t, i % 3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = fingerprints.winnowed(docs.repartition("part"), "text", "part").withColumn("same", F.col("fp").eqNullSafe(fingerprints.winnow(F.col("text")))).collect()
+    assert sorted(map(repr, [(r.doc_id, r.text, r.part) for r in got])) == sorted(map(repr, rows))
+    assert all(r.same for r in got)
+
+
+def test_fingerprints_of_whole_texts_are_compiled(spark):
+    """No array of a text's code points, over which Spark would interpret lambdas, and no exchange but that by part."""
+    told = fingerprints.with_next(spark.createDataFrame([(i, "some text " * 40) for i in range(9)], "doc_id long, text string")).select("doc_id", "fp")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "split(text" not in plan and ", , -1)" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_white_space_is_spaced_as_before(spark):
+    """Each of the first 0x3100 code points between letters, beside a space and doubled, against a search without the short cut."""
+    rows = [(c, t) for c in [*range(0x3100), 0x1F600] if not 0xD800 <= c < 0xE000 for t in (f"a{chr(c)}b", f"a {chr(c)}b", f"a{chr(c)} b", f"中{chr(c)}{chr(c)}😀")]
+    plain = F.trim(F.regexp_replace("text", rf"{fingerprints._SPACE}+", " "))
+    assert spark.createDataFrame(rows, "c int, text string").where(fingerprints._spaced(F.col("text")) != plain).count() == 0
+
+
 def test_fingerprints_of_text_without_spaces_and_with_typos(spark):
     rnd = random.Random(11)
     han = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(300))
