@@ -20,10 +20,12 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sylvaframe.llm.common import slices
+from sylvaframe.llm.common import slices, small_batches, tidy
 
 #: Pieces whose codes a worker gathers in a generation; those of the generation before stay at hand, and those met again move on.
-MEMORY = 300_000
+MEMORY = 200_000
+#: Pieces that are learned together: their index takes about a kilobyte each.
+TOGETHER = 4_000
 # The pattern that splits text into pieces before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -84,8 +86,10 @@ class Codec:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.find_any, self.find_plane = regex.compile(PATTERN).findall, re.compile(plane_pattern()).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        #: Bytes by id as it is written, and the ids of pieces, joined by commas: one string a piece, as there are many.
+        self.spelled = {str(i): b for i, b in self.bytes.items()}
+        self.known: dict[str | tuple[str], str] = {}
+        self.older: dict[str | tuple[str], str] = {}
 
     def find(self, text: str) -> list[str]:
         """The pieces of a text. Code points past the first 65,536 take the slower matcher."""
@@ -98,7 +102,8 @@ class Codec:
         was = gc.isenabled()
         gc.disable()
         try:
-            self._learn(pieces)
+            for at in range(0, len(pieces), TOGETHER):
+                self._learn(pieces[at : at + TOGETHER])
         finally:
             if was:
                 gc.enable()
@@ -145,14 +150,18 @@ class Codec:
                     else:
                         where[x] = [h]
                         heapq.heappush(active, x)
-        i, known, spelled = 0, self.known, self.bytes
+        i, known = 0, self.known
         for p in pieces:
             ids = []
             while sym[i] != -1:
                 ids.append(sym[i])
                 i = after[i]
             i = after[i]
-            known[p] = ",".join(map(str, ids)), len(ids), b"".join([spelled[t] for t in ids])
+            known[p] = ",".join(map(str, ids))
+
+    def decode(self, ids: list[str]) -> bytes:
+        """The bytes that the ids stand for."""
+        return b"".join(itemgetter(*ids)(self.spelled)) if len(ids) > 1 else b"".join([self.spelled[i] for i in ids])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """Ids joined by commas, their number, and the decoded bytes, of each text."""
@@ -174,13 +183,11 @@ class Codec:
         self.learn([p for p in new if isinstance(p, str)])
         for p in new:
             if isinstance(p, tuple):
-                self.known[p] = str(self.special[p[0]]), 1, self.bytes[self.special[p[0]]]
+                self.known[p] = str(self.special[p[0]])
         for pieces in cut:
-            if len(pieces) > 1:
-                ids, counts, spelled = zip(*itemgetter(*pieces)(self.known), strict=True)
-                yield ",".join(ids), sum(counts), b"".join(spelled)
-            else:
-                yield self.known[pieces[0]] if pieces else ("", 0, b"")
+            joined = ",".join(itemgetter(*pieces)(self.known)) if len(pieces) > 1 else "".join([self.known[p] for p in pieces])
+            ids = joined.split(",") if joined else []
+            yield joined, len(ids), self.decode(ids)
 
 
 def _coded(spec: bytes, digest: bool):
@@ -209,4 +216,5 @@ def bpe(docs: DataFrame, vocabulary: str, digest: bool = False) -> DataFrame:
     """
     spec = Path(vocabulary).read_bytes()
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(_coded(spec, digest), schema)
+    small_batches(docs.sparkSession)
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(tidy(_coded(spec, digest)), schema)

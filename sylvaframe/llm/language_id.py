@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import NON_LETTER, U, grams, mix, slices, word_hashes
+from sylvaframe.llm.common import NON_LETTER, U, grams, mix, slices, small_batches, tidy, word_hashes
 
 #: About as many labelled rows of each language are learned from, at most.
 FIT_ROWS = 3000
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
         return [], np.zeros((0, BUCKETS)), np.zeros((0, len(_NAMES)), bool)
     part = F.create_map(*[F.lit(x) for k, n in sorted(per.items()) for x in (k, min(1.0, fit_rows / n))])
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part[F.col("lang")] * 1_000_003)
-    found = some.select("text", "lang").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = some.select("text", "lang").mapInArrow(tidy(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in found})
     count = np.zeros((len(langs), BUCKETS + len(_NAMES)))
     for r in found:
@@ -244,6 +244,7 @@ def identify(docs: DataFrame, train: DataFrame, spans: bool = True, keep: tuple[
     language uses are scored for all. Learned from rows of train with text and lang; without any, all is `und`.
     Repeated rows get equal labels; other columns have no influence. Empty table: no rows.
     """
+    small_batches(docs.sparkSession)
     model = fit(train, fit_rows)
     names = [k for k in keep if k != "text"]
     fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names]
@@ -251,7 +252,7 @@ def identify(docs: DataFrame, train: DataFrame, spans: bool = True, keep: tuple[
     schema = ", ".join(fields + ["__text string"] * ("text" in keep) + ["lang_pred string", "score double"])
     if spans:
         schema += ", spans array<struct<first_word: int, last_word: int, lang: string>>"
-    out = source.mapInArrow(_label(model, spans), schema)
+    out = source.mapInArrow(tidy(_label(model, spans)), schema)
     return out.withColumnRenamed("__text", "text") if "text" in keep else out
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, materialise, mix, only, signed, slices, with_ids, word_hashes
+from sylvaframe.llm.common import U, grams, materialise, mix, only, signed, slices, small_batches, tidy, with_ids, word_hashes
 
 N = 4
 #: Links: 100 * intersection >= 85 * union.
@@ -282,8 +282,8 @@ def span(buckets: int) -> U:
 def hot_shingles(docs: DataFrame, total: int, words: int, buckets: int) -> np.ndarray:
     """Common shingles modulo span(buckets), in order: those of all documents are counted, and the HOT commonest are taken."""
     least = max(HOT_DOCS, -(-total * HOT_DOCS // HOT_OF))
-    own = docs.mapInArrow(_members(words, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = materialise(own.mapInArrow(_totals(least), "g long, n long"))
+    own = docs.mapInArrow(tidy(_members(words, buckets)), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = materialise(own.mapInArrow(tidy(_totals(least)), "g long, n long"))
     return np.sort(np.array([r["g"] for r in found.orderBy(F.desc("n"), "g").limit(HOT).collect()], np.int64).view(U))
 
 
@@ -552,11 +552,11 @@ def joining(docs: DataFrame, mapped: DataFrame, size: DataFrame, label: DataFram
     signed_keys = spread.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64("d", F.lit(1))).alias("y"))
     open_keys = signed_keys.where("g > 2 AND low <> high").groupBy("g", "x", "y").agg(F.min("key").alias("key")).select("key")
     rows = materialise(spread.join(open_keys, "key").join(size.withColumnRenamed("doc_id", "d"), "d").withColumnRenamed("key", "grp"))
-    may = dealt(rows, "n", *SKETCH).mapInArrow(_may(share), "a long, b long").distinct()
+    may = dealt(rows, "n", *SKETCH).mapInArrow(tidy(_may(share)), "a long, b long").distinct()
     family = components(docs.sparkSession, may).selectExpr("id AS c", "component AS grp")
     near = materialise(rows.select("d", "c").distinct().join(family, "c"))
-    short = only(docs, near.select(F.col("d").alias("doc_id"))).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_short(words, seed), "d long, members binary")
-    return dealt(near.join(short, "d"), "members").mapInArrow(_cross(share), "a long, b long, n2 long").distinct()
+    short = only(docs, near.select(F.col("d").alias("doc_id"))).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(tidy(_short(words, seed)), "d long, members binary")
+    return dealt(near.join(short, "d"), "members").mapInArrow(tidy(_cross(share)), "a long, b long, n2 long").distinct()
 
 
 def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataFrame:
@@ -569,9 +569,10 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataF
     Other columns have no influence. Empty table: no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = with_ids(docs)
     own = docs.select("doc_id", "text")
-    sets = materialise(own.mapInArrow(_sizes(n), "doc_id long, n long, name binary, " + ", ".join(f"{c} long" for c in SKETCH)))
+    sets = materialise(own.mapInArrow(tidy(_sizes(n)), "doc_id long, n long, name binary, " + ", ".join(f"{c} long" for c in SKETCH)))
     salt = f"pmod(xxhash64(doc_id), {SALTS}) AS salt"
     named = sets.where("n > 0 AND doc_id IS NOT NULL").selectExpr("doc_id", "name", salt)
     parts = named.groupBy("name", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -584,8 +585,8 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataF
     buckets = max(1, -(-(total or 0) // BUCKET))
     hot = hot_shingles(known, rows, n, buckets)
     # A chunk's smallest document of a key meets those of the other chunks; the rest were led to it in their chunk.
-    index = known.mapInArrow(_index(share, n, hot, buckets), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
-    star = materialise(index.mapInArrow(_stars(buckets), "key long, doc_id long, first long"))
+    index = known.mapInArrow(tidy(_index(share, n, hot, buckets)), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    star = materialise(index.mapInArrow(tidy(_stars(buckets)), "key long, doc_id long, first long"))
     of = lambda c, to: follow.selectExpr(f"doc_id AS {c}", f"rep AS {to}")
     mapped = star.join(of("doc_id", "r"), "doc_id", "left").join(of("first", "q"), "first", "left").selectExpr("key", "coalesce(r, doc_id) AS x", "coalesce(q, first) AS y")
     mapped = materialise(mapped.where("x <> y").selectExpr("key", "least(x, y) AS a", "greatest(x, y) AS b").distinct())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, mix, signed, slices, with_ids, word_hashes
+from sylvaframe.llm.common import U, grams, mix, signed, slices, small_batches, tidy, with_ids, word_hashes
 
 WINDOW = 13
 #: Words on either side of a boundary that its name covers.
@@ -168,10 +168,10 @@ def _kept(whole: bool):
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, starts): the first words of 13-word windows that also start in a document with a smaller doc_id."""
     own = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = own.where("text IS NOT NULL").mapInArrow(_boundaries, _BOUNDARY)
+    found = own.where("text IS NOT NULL").mapInArrow(tidy(_boundaries), _BOUNDARY)
     shared = found.selectExpr("doc_id", "mark", "(mark & 1) = 1 OR min(doc_id) OVER (PARTITION BY key) < max(doc_id) OVER (PARTITION BY key) AS flag").where("flag")
     marks = shared.groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("marks"))
-    windows = own.join(marks, "doc_id").mapInArrow(_windows, _WINDOW)
+    windows = own.join(marks, "doc_id").mapInArrow(tidy(_windows), _WINDOW)
     split = windows.selectExpr("key", "doc_id", "cast(shiftright(mark, 32) AS int) AS more", "cast(mark & 4294967295 AS int) AS mark")
     least = split.selectExpr("doc_id", "mark", "min(doc_id) OVER (PARTITION BY key, more) AS least")
     return least.where("least < doc_id OR (mark & 1) = 1").groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("starts"))
@@ -186,6 +186,7 @@ def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
     nothing stays as it is (null becomes empty); columns of docs named like one of the result give way to it; else the kept words are joined by one space. Empty table: no rows.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")] if whole else []
+    small_batches(docs.sparkSession)
     docs = with_ids(docs)
     cols = ["doc_id", "text", *[F.col(f"`{c}`") for c in rest]]
     # Both joins read the texts dealt by doc_id from one shuffle, as long as nothing else is carried along.
@@ -195,4 +196,4 @@ def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
     schema = f"doc_id long, n_words long, n_removed long, {'kept_text' if whole else 'kept_sha256'} string"
     for c in rest:
         schema += f", `{c}` {docs.schema[c].dataType.simpleString()}"
-    return both.mapInArrow(_kept(whole), schema)
+    return both.mapInArrow(tidy(_kept(whole)), schema)

@@ -129,3 +129,31 @@ def test_near_copies_go_without_a_shuffle_of_texts(spark):
     # Only repeated ids may be brought together, and so few of them are picked out before their texts move.
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_batches_for_workers_are_small_and_change_no_result(spark):
+    import pyarrow as pa
+
+    from sylvaframe.llm import bpe, queries
+    from sylvaframe.llm.common import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    words = lambda i, n=40: " ".join(f"a{i % 150}b{j}" for j in range(n))
+    rows = [(i, words(i) + " x" * (i % 3), "en", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    found = lambda: [sorted(map(tuple, stage(spark, docs, "").collect())) for name, stage in corpus_pipeline.STAGES if name != "mixing"]
+    spark.conf.unset(key)
+    try:
+        bpe.bpe(docs, queries.vocabulary())
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+        told = [r.n for r in spark.range(40, numPartitions=1).selectExpr("repeat('0123456789', 50000) AS text").mapInArrow(sizes, "n long").collect()]
+        assert sum(told) >= 20_000_000 and max(told) <= BATCH_BYTES + 600_000, told
+        large = found()
+        spark.conf.set(key, "3000b")
+        assert found() == large and spark.conf.get(key) == "3000b"
+    finally:
+        spark.conf.unset(key)
