@@ -9,7 +9,7 @@ members; two of those may agree in such pieces only, so they are dealt anew by a
 tries, they index pieces without members), which keeps the search exact. Shingles that many documents share are left
 out of the first try, so that a common passage doesn't bring its documents together.
 
-Texts of equal words are one class, named by a SHA-256 of the words. A key leads each of its documents to the smallest one
+Texts of equal words are one class, named by a SHA-256 of the words; only its smallest document is indexed. A key leads each of its documents to the smallest one
 only, not to all pairs; candidates are verified on the words. Where a key's documents then lie in several components,
 those outside the largest are held against all of the key's by sizes and parity sketches, in blocks of bounded size,
 and components that may link become a family. In each family, again in blocks, sets are held against sets; of these
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, materialise, mix, only, signed, slices, small_batches, tidy, with_ids, word_hashes
+from sylvaframe.llm.common import FEW, U, grams, materialise, mix, only, signed, slices, small_batches, tidy, with_ids, without, word_hashes
 
 N = 4
 #: Links: 100 * intersection >= 85 * union.
@@ -41,8 +41,6 @@ BUCKET, KEY_BITS = 1_000_000, 40
 LOW = U((1 << KEY_BITS) - 1)
 #: Shingles, in all, of the texts that are verified against one other text in a group.
 GROUP = 200_000
-#: Classes that a worker remembers.
-SEEN = 200_000
 #: Cost of a candidate's verification, in keys.
 VERIFY = 30.0
 #: Sets with a greater weight than E of pieces without members are dealt again by another hash, TRIES times in all.
@@ -219,14 +217,8 @@ def _index(share: int, words: int, hot: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        seen: dict[bytes, int] = {}
         for piece, texts in slices(batches):
             ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            # Of a class, one document that a worker meets stands for all: the class is known by its name elsewhere.
-            if len(seen) > SEEN:
-                seen.clear()
-            fresh = [i for i, t in enumerate(texts) if seen.setdefault(hashlib.sha256(_folded(t)).digest(), int(ids[i])) == int(ids[i])]
-            texts, ids = [texts[i] for i in fresh], ids[fresh]
             key, text = set_keys(*shingle_sets(texts, words), len(texts), share, hot, buckets)
             parts.append((key, ids[text]))
             if (size := size + len(key)) >= CHUNK:
@@ -280,7 +272,7 @@ def span(buckets: int) -> U:
 
 
 def hot_shingles(docs: DataFrame, total: int, words: int, buckets: int) -> np.ndarray:
-    """Common shingles modulo span(buckets), in order: those of all documents are counted, and the HOT commonest are taken."""
+    """Common shingles modulo span(buckets), in order: those of all the docs are counted, and the HOT commonest are taken."""
     least = max(HOT_DOCS, -(-total * HOT_DOCS // HOT_OF))
     own = docs.mapInArrow(tidy(_members(words, buckets)), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
     found = materialise(own.mapInArrow(tidy(_totals(least)), "g long, n long"))
@@ -574,22 +566,23 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, n: int = N) -> DataF
     own = docs.select("doc_id", "text")
     sets = materialise(own.mapInArrow(tidy(_sizes(n)), "doc_id long, n long, name binary, " + ", ".join(f"{c} long" for c in SKETCH)))
     salt = f"pmod(xxhash64(doc_id), {SALTS}) AS salt"
-    named = sets.where("n > 0 AND doc_id IS NOT NULL").selectExpr("doc_id", "name", salt)
+    named = sets.where("n > 0 AND doc_id IS NOT NULL").selectExpr("doc_id", "name", "n AS size", salt)
     parts = named.groupBy("name", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = parts.groupBy("name").agg(F.min("least").alias("rep"), F.sum("n").alias("n")).where("n > 1").select("name", "rep")
     # A class can hold a third of all rows: these meet it by name and salt, of which a class has SALTS at most.
     parts = materialise(parts.select("name", "salt").join(classes, "name"))
-    follow = materialise(named.join(parts, ["name", "salt"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
-    known = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows, total = sets.agg(F.count("*"), F.sum("n")).first()
-    buckets = max(1, -(-(total or 0) // BUCKET))
-    hot = hot_shingles(known, rows, n, buckets)
+    copies = materialise(named.join(parts, ["name", "salt"]).where("doc_id <> rep").select("doc_id", "size").distinct())
+    # A class's smallest document stands for all of it: however many copies there are, its keys are made and shuffled once.
+    known = without(own.where("doc_id IS NOT NULL AND text IS NOT NULL"), copies)
+    (rows, total), (others, fewer) = (x.agg(F.count("*"), F.coalesce(F.sum(c), F.lit(0))).first() for x, c in ((sets, "n"), (copies, "size")))
+    if others > FEW:
+        known = materialise(known)
+    buckets = max(1, -(-(total - fewer) // BUCKET))
+    hot = hot_shingles(known, rows - others, n, buckets)
     # A chunk's smallest document of a key meets those of the other chunks; the rest were led to it in their chunk.
     index = known.mapInArrow(tidy(_index(share, n, hot, buckets)), "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
     star = materialise(index.mapInArrow(tidy(_stars(buckets)), "key long, doc_id long, first long"))
-    of = lambda c, to: follow.selectExpr(f"doc_id AS {c}", f"rep AS {to}")
-    mapped = star.join(of("doc_id", "r"), "doc_id", "left").join(of("first", "q"), "first", "left").selectExpr("key", "coalesce(r, doc_id) AS x", "coalesce(q, first) AS y")
-    mapped = materialise(mapped.where("x <> y").selectExpr("key", "least(x, y) AS a", "greatest(x, y) AS b").distinct())
+    mapped = star.selectExpr("key", "least(doc_id, first) AS a", "greatest(doc_id, first) AS b")
     size = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", *SKETCH).dropDuplicates(["doc_id"])
     two = mapped.select("a", "b").distinct()
     for side, prefix in (("a", "x"), ("b", "y")):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.common import U, grams, mix, signed, slices, small_batches, tidy, with_ids, word_hashes
+from sylvaframe.llm.common import U, grams, materialise, mix, signed, slices, small_batches, tidy, with_ids, word_hashes
 
 WINDOW = 13
 #: Words on either side of a boundary that its name covers.
@@ -166,15 +166,18 @@ def _kept(whole: bool):
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts): the first words of 13-word windows that also start in a document with a smaller doc_id."""
+    """(doc_id, starts): the first words of 13-word windows that also start in a document with a smaller doc_id.
+
+    Places and starts are written as tables, so that the disk holds the shuffle files of one step at a time.
+    """
     own = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     found = own.where("text IS NOT NULL").mapInArrow(tidy(_boundaries), _BOUNDARY)
     shared = found.selectExpr("doc_id", "mark", "(mark & 1) = 1 OR min(doc_id) OVER (PARTITION BY key) < max(doc_id) OVER (PARTITION BY key) AS flag").where("flag")
-    marks = shared.groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("marks"))
+    marks = materialise(shared.groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("marks")))
     windows = own.join(marks, "doc_id").mapInArrow(tidy(_windows), _WINDOW)
     split = windows.selectExpr("key", "doc_id", "cast(shiftright(mark, 32) AS int) AS more", "cast(mark & 4294967295 AS int) AS mark")
     least = split.selectExpr("doc_id", "mark", "min(doc_id) OVER (PARTITION BY key, more) AS least")
-    return least.where("least < doc_id OR (mark & 1) = 1").groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("starts"))
+    return materialise(least.where("least < doc_id OR (mark & 1) = 1").groupBy("doc_id").agg(F.collect_list(F.shiftright("mark", 1)).alias("starts")))
 
 
 def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
@@ -189,7 +192,6 @@ def dedup_substrings(docs: DataFrame, whole: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = with_ids(docs)
     cols = ["doc_id", "text", *[F.col(f"`{c}`") for c in rest]]
-    # Both joins read the texts dealt by doc_id from one shuffle, as long as nothing else is carried along.
     own = docs.select(*cols).where("doc_id IS NOT NULL").join(repeated_windows(docs).withColumnRenamed("starts", "__starts"), "doc_id", "left")
     lone = docs.select(*cols).where("doc_id IS NULL").withColumn("__starts", F.lit(None).cast("array<int>"))
     both = own.unionByName(lone).select("doc_id", "text", "__starts", *[F.col(f"`{c}`") for c in rest])

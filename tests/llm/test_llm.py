@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import bpe, chat_format, fingerprints, html_extract, language_id, mixing, ngram_jaccard, queries, substring_dedup, topk_search, url_filter
+from sylvaframe.llm import bpe, chat_format, common, fingerprints, html_extract, language_id, mixing, ngram_jaccard, queries, substring_dedup, topk_search, url_filter
 
 SF = os.environ.get("SYLVAFRAME_TEST_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, starts int"
@@ -642,3 +642,24 @@ def test_common_shingles_are_counted_over_all_documents(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = ngram_jaccard.hot_shingles(docs, len(texts), 4, 3).tolist()
     assert got == sorted(g for g, n in counts.items() if n >= 30) and len(got) == 1  # "a b c d" is in 34 of 200, "e f g h" in 25
+
+
+def test_substring_dedup_holds_one_step_at_a_time(spark):
+    """The windows' rows are shuffled and done with before the texts are: what is left to do is one join."""
+    left = substring_dedup.dedup_substrings(frame(spark, corpus()), whole=True)
+    assert "Window" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [1_000_000, 1])
+def test_ngram_jaccard_indexes_a_class_once(spark, monkeypatch, few):
+    """Copies in every partition make no edges, whether their ids are broadcast or shuffled."""
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(ngram_jaccard, "FEW", few, raising=False)
+    written = []
+    monkeypatch.setattr(ngram_jaccard, "materialise", lambda df: written.append(common.materialise(df)) or written[-1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [(100 * k + i, t.upper() if k % 2 else t) for k in range(6) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (27, i % 100) for i, _ in rows}
+    assert [df.count() for df in written if "first" in df.columns] == [0]
