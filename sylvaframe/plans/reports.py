@@ -374,10 +374,13 @@ def _(s, d):
     return rounded(featurespace.mean_distance(_featured(s, d).where("id <= 300")), 6)
 
 
-@query("ao06_applicability", _FEAT + _MEAN + _NN.format("AND q.fold <> r.fold") + ", k AS (SELECT id, distance / mean AS di FROM n, w), f AS (SELECT quantile_cont(di, 0.75) * 2.5 - quantile_cont(di, 0.25) * 1.5 AS fence FROM k), t AS (SELECT max(di) AS threshold FROM k, f WHERE di <= fence) SELECT id, round(di, 5) AS di, di <= threshold AS inside FROM k, t")
+_ALL = ", w AS (SELECT avg(sqrt((q.a - r.a) ** 2 + (q.b - r.b) ** 2)) AS mean FROM x q JOIN x r ON q.id <> r.id)"
+
+
+@query("ao06_applicability", _FEAT + _ALL + _NN.format("AND q.fold <> r.fold") + ", k AS (SELECT id, distance / mean AS di FROM n, w), f AS (SELECT quantile_cont(di, 0.75) * 2.5 - quantile_cont(di, 0.25) * 1.5 AS fence FROM k), t AS (SELECT max(di) AS threshold FROM k, f WHERE di <= fence) SELECT id, round(di, 5) AS di, di <= threshold AS inside FROM k, t")
 def _(s, d):
     own = _featured(s, d)
-    di = featurespace.nearest(own, own, "fold").crossJoin(F.broadcast(featurespace.mean_distance(own.where("id <= 300")))).select("id", featurespace.dissimilarity(F.col("distance"), F.col("mean")).alias("di"))
+    di = featurespace.nearest(own, own, "fold").crossJoin(F.broadcast(featurespace.mean_distance(own))).select("id", featurespace.dissimilarity(F.col("distance"), F.col("mean")).alias("di"))
     return di.crossJoin(F.broadcast(featurespace.upper_fence(di, "di"))).select("id", F.round("di", 5).alias("di"), (F.col("di") <= F.col("threshold")).alias("inside"))
 
 

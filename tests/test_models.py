@@ -1,6 +1,7 @@
 """Fits and partitions against brute force and known answers."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -94,3 +95,36 @@ def test_permuted_moran_writes_no_pairs(spark, monkeypatch):
     want = (z * (near @ z) / near.sum(1)).sum() / (300 * np.append(v, 7.0).var())
     assert got.moran_i == pytest.approx(want) and 0 < got.p <= 1
     assert near.sum() > 20_000 and max(d.count() for d in written) <= 301
+
+
+@pytest.mark.parametrize("sides,least", [(1, 30), (2, 40), (3, 9)])
+def test_mean_distance_of_all_pairs(spark, monkeypatch, sides, least):
+    """Cells apart, near and of one place, repeated ids and rows that lack something, against all pairs."""
+    monkeypatch.setattr(featurespace, "LEAST", least)
+    monkeypatch.setattr(featurespace, "BLOCK", 400)
+    rng = np.random.default_rng(sides)
+    x = np.concatenate((rng.normal(size=(900, sides)), 40 + 0.01 * rng.normal(size=(300, sides)), np.full((100, sides), 2.0)))
+    ids = np.concatenate((np.arange(1295), [1, 2, 2, 3, 3]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    other = ids[:, None] != ids[None]
+    rows = [(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)]
+    lacking = [(None, [0.0] * sides), (7, [None] * sides), (8, None)]
+    got = featurespace.mean_distance(spark.createDataFrame(rows + lacking, "id long, x array<double>")).first().mean
+    assert got == pytest.approx(d[other].mean(), rel=1e-9)
+    for some, expected in ((rows[:1], None), (rows[:2], d[0, 1]), ([(1, [0.0]), (2, [math.inf])], math.inf)):
+        assert featurespace.mean_distance(spark.createDataFrame(some, "id long, x array<double>")).first().mean == (expected if expected is None else pytest.approx(expected))
+
+
+def test_applicability_of_all_rows(spark, tmp_path):
+    """Rows beyond the first 300 count in the mean distance."""
+    from sylvaframe.plans.catalog import QUERIES
+
+    rows = [(i, float(i * 7919 % 1000) if i <= 300 else float(i * 7919 % 100_000)) for i in range(1, 601)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    x = np.array([(b / 1000, i * 37 % 101) for i, b in rows])
+    x = (x - x.mean(0)) / x.std(0) * [0.7, 0.3]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    fold = np.arange(1, 601) % 6
+    di = np.where(fold[:, None] != fold[None], d, np.inf).min(1) / (d.sum() / (600 * 599))
+    got = {r.id: r.di for r in QUERIES["ao06_applicability"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(di.tolist(), abs=1.1e-5)
